@@ -1,0 +1 @@
+"""No streaming operators: every time window in this engine is a batch bucketing (see operators.timewin)."""
