@@ -6,7 +6,7 @@ from cohortry.operators import aggregate as A
 from cohortry.operators import filters as P
 from cohortry.operators import joins as J
 from cohortry.operators import ordering as S
-from cohortry.plans.catalog.shared import day, rnd
+from cohortry.plans.catalog.shared import day
 from cohortry.plans.registry import query
 
 
@@ -48,11 +48,11 @@ def _(t):
 
 
 @query("text_filters", """
-    SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE 'p%' AND p_type NOT LIKE '%STEEL%' AND p_brand IN ('Brand#11','Brand#12','Brand#13','Brand#21','Brand#22','Brand#31')""")
+    SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE 's%' AND p_type NOT LIKE '%ECON%' AND p_brand IN ('Brand#11','Brand#12','Brand#3')""")
 def _(t):
-    r = P.text_filter(t.part, "p_name", like="p%")
-    r = P.text_filter(r, "p_type", contains="STEEL", negate=True)
-    r = P.text_filter(r, "p_brand", isin=["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#31"])
+    r = P.text_filter(t.part, "p_name", like="s%")
+    r = P.text_filter(r, "p_type", contains="ECON", negate=True)
+    r = P.text_filter(r, "p_brand", isin=["Brand#11", "Brand#12", "Brand#3"])
     return r.select("p_partkey", "p_name", "p_type")
 
 
@@ -302,9 +302,3 @@ def _(t):
 def _(t):
     return S.key_spine([t.lineitem.select(F.col("l_orderkey").alias("k")), t.orders.select(F.col("o_orderkey").alias("k"))], ["k"])
 
-
-@query("difference_rates", """
-    SELECT o_orderpriority, count(*) AS n, CAST(sum((o_orderstatus='F')::int) AS BIGINT) AS n_flag, round(avg((o_orderstatus='F')::int)+1e-8,6) AS rate FROM orders GROUP BY 1""")
-def _(t):
-    r = A.rate_by(t.orders.withColumn("done", F.col("o_orderstatus") == "F"), ["o_orderpriority"], "done")
-    return r.withColumn("rate", rnd("rate"))
