@@ -55,6 +55,9 @@ def range_join(
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError("how must be inner, left_semi or left_anti")
+    clash = [c for c in points.columns if c in intervals.columns and c not in on]
+    if how == "inner" and clash:
+        raise ValueError(f"columns on both sides besides the keys: {clash}")
     kinds_p, kinds_i = dict(points.dtypes), dict(intervals.dtypes)
     cell = F.floor(_position(t, kinds_p[t]) / bucket)
     first, last = F.floor(_position(lo, kinds_i[lo]) / bucket), F.floor(_position(hi, kinds_i[hi]) / bucket)
