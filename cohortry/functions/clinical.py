@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def offset_with_fallback(t: Column, refs: list[tuple[Column, int]]) -> Column:
 
 def adjusted_score(nominal: Column, supports: list[Column], disposition: Column, top: int = 8, base: int = 6) -> Column:
     """``top`` on an expired disposition, ``base + 1`` for ``base`` with any support, else the nominal score."""
-    any_support = F.greatest(*[F.coalesce(s.cast("int"), F.lit(0)) for s in supports]) > 0
+    any_support = reduce(lambda a, b: a | b, [F.coalesce(s.cast("boolean"), F.lit(False)) for s in supports])
     expired = F.contains(F.lower(F.coalesce(disposition, F.lit(""))), F.lit("expired"))
     return F.when(expired, top).when((nominal == base) & any_support, base + 1).otherwise(nominal)
 

@@ -75,8 +75,9 @@ def chart_percentile(df: DataFrame, group: str, x: str, y: str, chart: DataFrame
     """
     curves = chart.groupBy(group, F.col("x").cast("int").alias("__x")).agg(F.array_sort(F.collect_list(F.struct("percentile", "value"))).alias("__curve"))
     ends = chart.groupBy(group).agg(F.min("x").cast("int").alias("__x0"), F.max("x").cast("int").alias("__x1"))
-    placed = join_same_keys(df, ends, [group], "left").withColumn("__at", F.least(F.greatest(F.col(x).cast("double"), F.col("__x0")), F.col("__x1")))
-    placed = placed.where(F.col(x).isNotNull()).unionByName(placed.where(F.col(x).isNull()).withColumn("__at", F.lit(None).cast("double")))
+    placed = join_same_keys(df, ends, [group], "left").withColumn(
+        "__at", F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x).cast("double"), F.col("__x0")), F.col("__x1")))
+    )
     placed = placed.withColumns({"__lo": F.floor("__at").cast("int"), "__hi": F.least(F.floor("__at").cast("int") + 1, F.col("__x1")), "__w": F.col("__at") - F.floor("__at")})
     low = curves.select(F.col(group), F.col("__x").alias("__lo"), F.col("__curve").alias("__cl"))
     high = curves.select(F.col(group), F.col("__x").alias("__hi"), F.col("__curve").alias("__ch"))
