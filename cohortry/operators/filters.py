@@ -89,8 +89,9 @@ def recode(col: Column, cases: dict, default=None) -> Column:
 
 
 def null_if(df: DataFrame, cols: list[str], sentinel) -> DataFrame:
-    """Turn a sentinel value into null."""
-    return df.withColumns({c: F.nullif(F.col(c), F.lit(sentinel)) for c in cols})
+    """Turn a sentinel value into null; columns whose type cannot hold it are left alone."""
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(sentinel).try_cast(types[c])) for c in cols})
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:

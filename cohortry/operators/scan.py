@@ -101,6 +101,22 @@ def numbered_rows(df: DataFrame, by: list[str], order: str, name: str) -> DataFr
     return prefix_scan(counted, by, order, {name: ("sum", "__one")}).drop("__one")
 
 
+def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str, draw_from: DataFrame | None = None) -> DataFrame:
+    """``row_number`` from 1 within ``by`` along several columns that together are unique; nulls first.
+
+    Each column in turn adds the count of rows below within the columns before it, so neither a tie nor a group
+    has to fit one task.
+    """
+    out = df
+    for i, c in enumerate(order):
+        keys = [*by, *order[:i]]
+        per = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__n"))
+        below = prefix_scan(per, keys, c, {"__end": ("sum", "__n")}, draw_from=draw_from)
+        out = join_same_keys(out, below.select(*keys, c, (F.col("__end") - F.col("__n")).alias(f"__below_{i}")), [*keys, c])
+    rank = reduce(lambda a, b: a + b, [F.col(f"__below_{i}") for i in range(len(order))]) + 1
+    return out.select(*df.columns, rank.alias(name))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of several columns per group, in long form (by…, column, <probs>…).
 
