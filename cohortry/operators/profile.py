@@ -37,30 +37,49 @@ def field_values(tables: dict[str, tuple[DataFrame, list]], instance: str | None
 def table_profile(df: DataFrame, name: str, instance: str | None = None, approx: bool = False) -> DataFrame:
     """Per field: records, type, distinct values, distinct values per instance, nulls.
 
-    One scan for all fields: rows are unpivoted to (field, value) and counted before the shuffle. Long values travel as digests.
-    ``approx`` replaces exact distinct counts by sketches in a single aggregate.
+    One job with a branch per field, and each branch reads its own column only. Values are counted before the shuffle and spread
+    by value, so a field with few or very many values is no hot spot. Long texts and nested values travel as digests.
+    ``approx`` replaces exact distinct counts by sketches in a single aggregate over one scan.
     """
     per_instance = instance is not None and instance in df.columns
-    tag = F.col(instance).cast("string") if per_instance else F.lit(None).cast("string")
+    none = F.lit(None).cast("long")
 
-    def digest(c):
-        text = F.col(c).cast("string")
-        return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+    def value(c, kind):
+        if kind == "string":
+            return F.when(F.length(c) > 64, F.sha2(F.col(c), 256)).otherwise(F.col(c))
+        return F.sha2(F.to_json(F.struct(c)), 256) if kind.startswith(("array", "map", "struct")) else F.col(c)
+
+    def missing(c):
+        return F.count(F.when(F.col(c).isNull(), 1))
 
-    cells = F.array(*[F.struct(F.lit(c).alias("field_name"), F.lit(t).alias("data_type"), digest(c).alias("v")) for c, t in df.dtypes])
-    long = df.select(tag.alias("i"), F.inline(cells))
-    field = ["field_name", "data_type"]
-    n, nulls = F.count(F.lit(1)), F.count(F.when(F.col("v").isNull(), 1))
     if approx:
-        pair = F.when(F.col("v").isNotNull() & F.col("i").isNotNull(), F.struct("i", "v"))
-        s = long.groupBy(*field).agg(
-            n.alias("records_cnt"), F.approx_count_distinct("v").alias("unique_cnt"), F.approx_count_distinct(pair).alias("instance_unique_cnt"), nulls.alias("null_cnt"))
-    else:
-        groups = long.groupBy(*field, "v", "i").agg(n.alias("n"))
-        known = F.col("v").isNotNull()
-        values = groups.groupBy(*field, "v").agg(F.sum("n").alias("n"), F.count(F.when(known & F.col("i").isNotNull(), 1)).alias("pairs"))
-        s = values.groupBy(*field).agg(
-            F.sum("n").alias("records_cnt"), F.count("v").alias("unique_cnt"), F.sum("pairs").alias("instance_unique_cnt"),
-            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_cnt"))
-    inst = F.col("instance_unique_cnt") if per_instance else F.lit(None).cast("long")
-    return s.select(F.lit(name).alias("table_name"), "records_cnt", *field, "unique_cnt", inst.alias("instance_unique_cnt"), "null_cnt")
+        stats, rows = [F.count(F.lit(1)).alias("n")], []
+        for i, (c, kind) in enumerate(df.dtypes):
+            pair = F.when(F.col(c).isNotNull() & F.col(instance).isNotNull(), F.struct(instance, value(c, kind))) if per_instance else None
+            stats += [F.approx_count_distinct(value(c, kind)).alias(f"u{i}"), missing(c).alias(f"z{i}")]
+            stats += [F.approx_count_distinct(pair).alias(f"p{i}")] if per_instance else []
+            rows.append(F.struct(
+                F.lit(name).alias("table_name"), F.col("n").alias("records_cnt"), F.lit(c).alias("field_name"), F.lit(kind).alias("data_type"),
+                F.col(f"u{i}").alias("unique_cnt"), (F.col(f"p{i}") if per_instance else none).alias("instance_unique_cnt"), F.col(f"z{i}").alias("null_cnt"),
+            ))
+        return df.agg(*stats).select(F.inline(F.array(*rows)))
+
+    def branch(c, kind):
+        known, n = F.col("v").isNotNull(), F.count(F.lit(1)).alias("n")
+        # The null flag is kept apart: to_json of a null struct field is not null.
+        v = F.when(F.col(c).isNotNull(), value(c, kind)).alias("v")
+        if per_instance:
+            pairs = df.select(v, F.col(instance).alias("i")).groupBy("v", "i").agg(n)
+            values = pairs.groupBy("v").agg(F.sum("n").alias("n"), F.count(F.when(known, F.col("i"))).alias("pairs"))
+        else:
+            values = df.select(v).groupBy("v").agg(n)
+        s = values.agg(
+            F.sum("n").alias("records_cnt"), F.count("v").alias("unique_cnt"), (F.sum("pairs") if per_instance else F.max(none)).alias("instance_unique_cnt"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_cnt"),
+        )
+        return s.select(
+            F.lit(name).alias("table_name"), F.coalesce("records_cnt", F.lit(0)).alias("records_cnt"), F.lit(c).alias("field_name"),
+            F.lit(kind).alias("data_type"), "unique_cnt", "instance_unique_cnt", "null_cnt",
+        )
+
+    return reduce(DataFrame.unionByName, [branch(c, kind) for c, kind in df.dtypes])

@@ -26,7 +26,8 @@ def join_same_keys(left: DataFrame, right: DataFrame, on: list[str], how: str =
     keys = {c: f"__r_{c}" for c in on}
     right = right.withColumnsRenamed(keys)
     cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(r)) for c, r in keys.items()])
-    return left.join(right, cond, how).drop(*keys.values())
+    out = left.join(right, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*keys.values())
 
 
 def cell_bounds(df: DataFrame, order: str, cells: int | None = None) -> list:
@@ -117,16 +118,42 @@ def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str, draw_fr
     return out.select(*df.columns, rank.alias(name))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
+SMALL_GROUP = 100_000
+
+
+def exact_quantiles(
+    df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], small_group: int = SMALL_GROUP,
+) -> DataFrame:
     """Exact interpolated quantiles of several columns per group, in long form (by…, column, <probs>…).
 
-    Equal values are counted before the shuffle, then ranks come from ``prefix_scan``; a group is never
-    gathered in one task. ``probs`` maps output names to probabilities. Nulls are ignored.
+    Groups of up to ``small_group`` rows use the built-in aggregate, whose buffer holds the group's distinct values. Larger groups
+    are counted by value and ranked with ``prefix_scan``, so no task ever holds one. Nulls are ignored; ``probs`` maps names to probabilities.
     """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    large = sizes.where(F.col("__size") > small_group).drop("__size")
+    if large.isEmpty():
+        return _small_quantiles(df, by, cols, probs)
+    if not by:
+        return _ranked_quantiles(df, by, cols, probs)
+    small, hot = join_same_keys(df, large, by, "left_anti"), join_same_keys(df, large, by, "left_semi")
+    return _small_quantiles(small, by, cols, probs).unionByName(_ranked_quantiles(hot, by, cols, probs))
+
+
+def _small_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
+    levels = [F.lit(float(p)) for p in probs.values()]
+    found = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), F.array(*levels)).alias(f"__q{i}") for i, c in enumerate(cols)])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.get(F.col(f"__q{i}"), F.lit(j)).alias(n) for j, n in enumerate(probs)]) for i, c in enumerate(cols)
+    ]
+    first = next(iter(probs))
+    return found.select(*by, F.inline(F.array(*rows))).where(F.col(first).isNotNull())
+
+
+def _ranked_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
     long = df.select(
         *by,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("__p"),
-    ).select(*by, "__p.column", "__p.value").where(F.col("value").isNotNull())
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])),
+    ).where(F.col("value").isNotNull())
     keys = [*by, "column"]
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n"))
     ranked = prefix_scan(counts, keys, "value", {"__hi": ("sum", "__n")}, draw_from=long)

@@ -83,18 +83,18 @@ def fisher_2x2(table: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: st
         "__k0": F.greatest(F.lit(0.0), c1 - r2, F.floor(mean - 40 * sd - 50)), "__k1": F.least(r1, c1, F.ceil(mean + 40 * sd + 50)),
     })
 
-    def ln_p(k):
-        return (
-            ln_factorial(r1) + ln_factorial(r2) + ln_factorial(c1) + ln_factorial(total - c1) - ln_factorial(total)
-            - ln_factorial(k) - ln_factorial(r1 - k) - ln_factorial(c1 - k) - ln_factorial(r2 - c1 + k)
-        )
+    # The factorials of the margins are computed once per table, those of the cells once per term.
+    margins = ln_factorial(r1) + ln_factorial(r2) + ln_factorial(c1) + ln_factorial(total - c1) - ln_factorial(total)
 
-    t = t.withColumn("__obs", ln_p(F.col("__a")))
+    def ln_cells(k):
+        return ln_factorial(k) + ln_factorial(r1 - k) + ln_factorial(c1 - k) + ln_factorial(r2 - c1 + k)
+
+    t = t.withColumns({"__margins": margins, "__obs": ln_cells(F.col("__a"))})
     runs = t.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__k1") - F.col("__k0")) / STEP).cast("int"))))
     start = (F.col("__k0") + F.col("__run") * STEP).cast("long")
     stop = F.least(F.col("__k1").cast("long"), start + (STEP - 1))
-    terms = runs.withColumn("__k", F.explode(F.sequence(start, stop))).withColumn("__ln", ln_p(F.col("__k").cast("double")))
-    kept = F.when(F.col("__ln") <= F.col("__obs") + 1e-7, F.exp("__ln")).otherwise(0.0)
+    terms = runs.withColumn("__k", F.explode(F.sequence(start, stop))).withColumn("__ln", ln_cells(F.col("__k").cast("double")))
+    kept = F.when(F.col("__ln") >= F.col("__obs") - 1e-7, F.exp(F.col("__margins") - F.col("__ln"))).otherwise(0.0)
     sums = terms.groupBy("__a", "__b", "__c", "__d").agg(F.sum(kept).alias("__p"))
     odds = F.when(F.col("__b") * F.col("__c") > 0, F.col("__a") * F.col("__d") / (F.col("__b") * F.col("__c")))
     keyed = table.withColumns({n: F.col(x).cast("double") for x, n in names.items()})
