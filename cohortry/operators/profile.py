@@ -21,7 +21,7 @@ def field_values(tables: dict[str, tuple[DataFrame, list]], instance: str | None
         rows = df if where is None else df.where(where)
         for f in fields:
             pair = [f] if isinstance(f, str) else list(f)[:2]
-            by = [*pair, *([instance] if instance and instance in df.columns else [])]
+            by = list(dict.fromkeys([*pair, *([instance] if instance and instance in df.columns else [])]))
             require_columns(df, by)
             counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("value_count"))
             numbered = rank_rows(counts, [], by, "row_id", draw_from=rows)
