@@ -90,11 +90,12 @@ def add_flags(df: DataFrame, label_ids: DataFrame, on: list[str], labels: list[s
 def add_values(df: DataFrame, reg: DataFrame, code_col: str, value_col: str, labels: list[str]) -> DataFrame:
     """Per label: the record's value if any of its codes (array or scalar) belongs to the label, else null."""
     require_columns(df, [code_col, value_col])
-    sets = reg.where(F.col("label").isin(labels)).agg(
-        *[F.collect_set(F.when(F.col("label") == x, F.col("code"))).alias(x) for x in labels]
-    )
-    have = F.col(code_col) if dict(df.dtypes)[code_col].startswith("array") else F.array(code_col)
-    return df.select("*", *[F.when(F.arrays_overlap(have, sets.select(x).scalar()), F.col(value_col)).alias(x) for x in labels])
+    own = F.col(code_col) if dict(df.dtypes)[code_col].startswith("array") else F.array(code_col)
+    # Labels are looked up once per distinct code list, with a join, so the registry may be of any size.
+    lists = df.select(code_col).where(F.col(code_col).isNotNull()).distinct()
+    wanted = reg.where(F.col("label").isin(labels)).select("label", F.col("code").alias("__code")).distinct()
+    sets = lists.withColumn("__code", F.explode(own)).join(wanted, "__code").groupBy(code_col).agg(F.collect_set("label").alias("__labels"))
+    return df.join(sets, code_col, "left").select(*df.columns, *[F.when(F.array_contains("__labels", x), F.col(value_col)).alias(x) for x in labels])
 
 
 def text_concept(terms: dict[str, list[str]]) -> Column:

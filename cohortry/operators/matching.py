@@ -6,17 +6,15 @@ multivariate neighbours from a grid whose cell width follows the data.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalars import z_score
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import prefix_scan
+from cohortry.operators.scan import cell_of, prefix_scan
 from cohortry.session import checkpoint
 
 
@@ -53,31 +51,44 @@ def match_caliper(df: DataFrame, id: str, treat: str, score: str, caliper: float
     return treated.join(best, "s").select("treated", F.col("best.c").alias("control"), F.col("best.d").alias("distance"))
 
 
-def _cells(df: DataFrame, axes: list[str], width: float, spread: bool) -> DataFrame:
-    """Grid cell of each row, or with ``spread`` one row per neighbouring cell."""
-    own = [F.floor(F.col(a) / F.lit(width)) for a in axes]
-    if not spread:
-        return df.withColumn("__cell", F.array(*own))
-    around = [F.array(*[o + d for o, d in zip(own, step)]) for step in product((-1, 0, 1), repeat=len(axes))]
-    return df.withColumn("__cell", F.explode(F.array(*around)))
+BITS, STRIDE = 8, 4
+
 
+def _coded(points: DataFrame, axes: list[str]) -> DataFrame:
+    """Add ``__code``: the position of each point as interleaved bits, one bit of every axis after the other.
 
-def _pairs(treated: DataFrame, control: DataFrame, axes: list[str], width: float) -> int:
-    """Number of pairs a grid of this width would compare, from cell counts only."""
-    t = _cells(treated, axes, width, True).groupBy("__cell").agg(F.count(F.lit(1)).alias("t"))
-    c = _cells(control, axes, width, False).groupBy("__cell").agg(F.count(F.lit(1)).alias("c"))
-    return t.join(c, "__cell").agg(F.coalesce(F.sum(F.col("t") * F.col("c")), F.lit(0))).first()[0]
+    A prefix of the code names a box; a longer prefix a box inside it. Axes are cut at quantiles of a bounded random draw, which only
+    affects how evenly the boxes fill.
+    """
+    size = 2**BITS
+    draw = points.select(*axes).orderBy(F.rand(11)).limit(size * 100).collect()
+    texts = []
+    for a in axes:
+        values = sorted(row[a] for row in draw)
+        cuts = sorted({values[len(values) * k // size] for k in range(1, size)})
+        place = F.floor(cell_of(F.col(a), cuts) * size / (len(cuts) + 1))
+        texts.append(F.lpad(F.bin(place), BITS, "0"))
+    coded = points.withColumns({f"__b{i}": text for i, text in enumerate(texts)})
+    code = F.concat(*[F.substring(f"__b{i}", bit, 1) for bit in range(1, BITS + 1) for i in range(len(axes))])
+    return coded.withColumn("__code", code).drop(*[f"__b{i}" for i in range(len(axes))])
+
+
+def _boxes(points: DataFrame, axes: list[str], length: int, side: str) -> DataFrame:
+    """Bounding boxes and sizes of the cells at a prefix length."""
+    cell = F.substring("__code", 1, length).alias(f"{side}_cell")
+    bounds = [fn(a).alias(f"{side}_{a}_{tag}") for a in axes for tag, fn in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(cell).agg(F.count(F.lit(1)).alias(f"{side}_n"), *bounds)
 
 
 def match_nearest(
-    treated: DataFrame, control: DataFrame, id: str, cols: list[str], scale: bool = True, grid_axes: int = 3, pairs_per_row: int = 50,
+    treated: DataFrame, control: DataFrame, id: str, cols: list[str], scale: bool = True, pairs_per_row: int = 50,
 ) -> DataFrame:
     """Nearest control of each treated unit in Euclidean distance over ``cols``, with replacement: (treated, control, distance).
 
-    Exact. Identical vectors are merged first. Space is cut into cells on the first axes; a unit looks into its own and the
-    adjacent cells, which surely hold its neighbour if that is at most one cell width away. The width starts where
-    the counted comparisons stay near ``pairs_per_row`` per row and doubles for the units not settled yet, so dense regions are
-    resolved with small cells. Ties go to the smallest control id.
+    Exact for any distribution; ties go to the smallest control id. Identical vectors are merged first. Both sides are then split into
+    ever smaller boxes; for each treated box only the control boxes that can still hold a nearest neighbour of one of its points are
+    kept (smallest possible distance not above the best guaranteed one). Points are compared once the comparisons left,
+    counted from box sizes, are about ``pairs_per_row`` per row.
     """
     require_columns(treated, [id, *cols])
     require_columns(control, [id, *cols])
@@ -85,37 +96,44 @@ def match_nearest(
     if scale:
         both = z_score(both, cols)
     axes = [f"x{i}" for i in range(len(cols))]
-    points = both.select(F.col(id).alias("__id"), "__t", *[F.col(c).cast("double").alias(a) for c, a in zip(cols, axes)])
-    points = checkpoint(points)
-    controls = checkpoint(points.where("__t = 0").groupBy(*axes).agg(F.min("__id").alias("control")))
-    remaining = checkpoint(points.where("__t = 1").select(*axes).distinct())
-    grid = axes[:grid_axes]
-
-    extent = points.agg(*[fn(a).alias(f"{a}{tag}") for a in axes for tag, fn in (("lo", F.min), ("hi", F.max))]).first()
-    n_controls, left = controls.count(), remaining.count()
-    if not n_controls or not left:
-        return points.select(F.col("__id").alias("treated"), F.col("__id").alias("control"), F.lit(0.0).alias("distance")).limit(0)
-    widest = max(extent[f"{a}hi"] - extent[f"{a}lo"] for a in axes) or 1.0
-    diagonal = sum((extent[f"{a}hi"] - extent[f"{a}lo"]) ** 2 for a in axes) ** 0.5 or 1.0
-    width, budget = widest / 2, pairs_per_row * (n_controls + left)
-    for _ in range(40):
-        if _pairs(remaining, controls, grid, width) <= budget:
-            break
-        width /= 2
-
-    settled = None
-    while left:
-        near = _cells(remaining, grid, width, True).join(_cells(controls.withColumnsRenamed({a: f"c_{a}" for a in axes}), [f"c_{a}" for a in grid], width, False), "__cell")
-        square = sum(((F.col(a) - F.col(f"c_{a}")) * (F.col(a) - F.col(f"c_{a}")) for a in axes), F.lit(0.0))
-        best = near.groupBy(*axes).agg(F.min(F.struct(F.sqrt(square).alias("d"), "control")).alias("best"))
-        done = checkpoint(best if width >= diagonal else best.where(F.col("best.d") <= width))
-        settled = done if settled is None else settled.unionByName(done)
-        if width >= diagonal:
+    points = checkpoint(both.select(F.col(id).alias("__id"), "__t", *[F.col(c).cast("double").alias(a) for c, a in zip(cols, axes)]))
+    vectors = points.groupBy(*axes).agg(F.min(F.when(F.col("__t") == 0, F.col("__id"))).alias("control"), F.max("__t").alias("__t"))
+    vectors = checkpoint(_coded(vectors, axes))
+    units, controls = vectors.where("__t = 1"), vectors.where("control IS NOT NULL")
+
+    def gap(a):
+        apart = F.greatest(F.col(f"c_{a}_lo") - F.col(f"t_{a}_hi"), F.col(f"t_{a}_lo") - F.col(f"c_{a}_hi"), F.lit(0.0))
+        return apart * apart
+
+    def reach(a):
+        far = F.greatest(F.abs(F.col(f"t_{a}_hi") - F.col(f"c_{a}_lo")), F.abs(F.col(f"c_{a}_hi") - F.col(f"t_{a}_lo")))
+        return far * far
+
+    budget = pairs_per_row * vectors.count()
+    pairs, length, full = None, 0, BITS * len(axes)
+    while length < full:
+        before, length = length, min(length + STRIDE, full)
+        t, c = _boxes(units, axes, length, "t"), _boxes(controls, axes, length, "c")
+        if pairs is None:
+            # The first boxes are few by construction: at most 2^STRIDE on each side.
+            met = t.withColumn("__k", F.lit(0)).join(c.withColumn("__k", F.lit(0)), "__k")
+        else:
+            t, c = [x.withColumn(f"{n}_up", F.substring(f"{n}_cell", 1, before)) for x, n in ((t, "t"), (c, "c"))]
+            up = pairs.select(F.col("t_cell").alias("t_up"), F.col("c_cell").alias("c_up"))
+            met = up.join(t, "t_up").join(c, "c_up")
+        near = met.select("t_cell", "c_cell", "t_n", "c_n", sum((gap(a) for a in axes), F.lit(0.0)).alias("low"), sum((reach(a) for a in axes), F.lit(0.0)).alias("high"))
+        # a box never has more candidates than survivors times 2^STRIDE; the margin covers rounding of the two sums
+        near = near.withColumn("sure", F.min("high").over(Window.partitionBy("t_cell")))
+        pairs = checkpoint(near.where(F.col("low") <= F.col("sure") * (1 + 1e-9)).select("t_cell", "c_cell", "t_n", "c_n"))
+        if pairs.agg(F.coalesce(F.sum(F.col("t_n") * F.col("c_n")), F.lit(0))).first()[0] <= budget:
             break
-        remaining = checkpoint(remaining.join(done.select(*axes), axes, "left_anti"))
-        left, width = remaining.count(), width * 2
-    units = points.where("__t = 1").select(F.col("__id").alias("treated"), *axes)
-    return units.join(settled, axes).select("treated", F.col("best.control").alias("control"), F.col("best.d").alias("distance"))
+    cell = F.substring("__code", 1, length)
+    other = controls.select(cell.alias("c_cell"), "control", *[F.col(a).alias(f"c_{a}") for a in axes])
+    compared = pairs.select("t_cell", "c_cell").join(units.select(cell.alias("t_cell"), *axes), "t_cell").join(other, "c_cell")
+    square = sum(((F.col(a) - F.col(f"c_{a}")) * (F.col(a) - F.col(f"c_{a}")) for a in axes), F.lit(0.0))
+    best = compared.groupBy(*axes).agg(F.min(F.struct(square.alias("d2"), "control")).alias("best"))
+    members = points.where("__t = 1").select(F.col("__id").alias("treated"), *axes)
+    return members.join(best, axes).select("treated", F.col("best.control").alias("control"), F.sqrt("best.d2").alias("distance"))
 
 
 def matched_rows(pairs: DataFrame, control: DataFrame, id: str) -> DataFrame:

@@ -40,6 +40,16 @@ def test_nearest_match_equals_brute_force(frame, pairs_per_row):
         assert got[i][1] == pytest.approx(d) and got[i][0] == j
 
 
+def test_nearest_match_of_far_apart_clusters_stays_small(frame):
+    """Two dense clusters with no common region: box pruning must still find exact neighbours."""
+    rng = random.Random(6)
+    near = lambda at: (at + rng.random(), rng.random(), float(rng.random() < 0.5))
+    t, c = [(i, *near(0)) for i in range(120)], [(500 + i, *near(50)) for i in range(300)]
+    schema = "id int, a double, b double, c double"
+    got = {r.treated: r.control for r in M.match_nearest(frame(t, schema), frame(c, schema), "id", ["a", "b", "c"], scale=False, pairs_per_row=5).collect()}
+    assert got == {i: min((math.dist(x, y), k) for k, *y in c)[1] for i, *x in t}
+
+
 def test_balance_counts_reused_controls(frame):
     df = frame([(1, 1, 1.0), (2, 1, 3.0), (3, 0, 1.0), (4, 0, 9.0)], "id int, t int, x double")
     pairs = frame([(1, 3, 0.0), (2, 3, 0.0)], "treated int, control int, d double")
