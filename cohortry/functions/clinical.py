@@ -121,3 +121,42 @@ def preterm_history(count: Column, gestation_days: Column, term: int = 259) -> C
     """1 if an earlier preterm birth is recorded that the present one does not explain."""
     n = F.coalesce(count.cast("int"), F.lit(0))
     return F.when((n == 0) | ((n == 1) & (gestation_days < term)), 0).otherwise(1)
+
+
+# Codes of the published encodings. Each entry is (upper bounds, codes, code for a missing value).
+ENCODINGS = {
+    "parity": ([2, 5], [0, 1, 2], 0),
+    "gravidity": ([2, 6], [0, 1, 2], 0),
+    "bmi": ([18.5, 25, 30, 35, 40], [0, 1, 2, 3, 4, -1], -1),
+    "age": ([25, 30, 35, 40, 45], [0, 1, 2, 3, 4, -1], -1),
+}
+RURALITY = ([4, 7, 10, 99, 100], ["Metropolitan", "Micropolitan", "SmallTown", "Rural", "NotCoded", None])
+RURALITY_RANK = {"Rural": 0, "SmallTown": 1, "Micropolitan": 2, "Metropolitan": 3}
+VAGINAL = [
+    "Vaginal, Spontaneous", "Vaginal, Vacuum (Extractor)", "Vaginal, Forceps", "Vaginal < 20 weeks", "Vaginal, Breech",
+    "VBAC, Spontaneous", "Vaginal Birth after Cesarean Section", "Spontaneous Abortion",
+]
+CESAREAN = ["C-Section, Low Transverse", "C-Section, Low Vertical", "C-Section, Classical", "C-Section, Unspecified"]
+
+
+def encode(c: Column, name: str) -> Column:
+    """One of the published binned encodings: parity, gravidity, bmi or age."""
+    bounds, codes, missing = ENCODINGS[name]
+    return bin_code(c.try_cast("double"), bounds, codes, missing)
+
+
+def rurality(code: Column) -> Column:
+    """Area type of a commuting-area code; null for codes above 99 and between 99 and 100."""
+    bounds, names = RURALITY
+    known = (code < 99) | (code == 99)
+    return F.when(known, bin_code(code, bounds, names))
+
+
+def rurality_rank(kind: Column) -> Column:
+    """0 (rural) to 3 (metropolitan), -1 otherwise."""
+    return phrase_exact(kind, [([name], rank) for name, rank in RURALITY_RANK.items()], -1)
+
+
+def delivery_method(c: Column) -> Column:
+    """0 vaginal, 1 cesarean, -1 unknown."""
+    return phrase_exact(c, [(VAGINAL, 0), (CESAREAN, 1)], -1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.scan import join_same_keys
 
+WIDE = 64
 HOW = ("inner", "left", "right", "left_semi", "left_anti")
 
 
@@ -46,12 +47,16 @@ def _position(col: str, kind: str):
 
 def range_join(
     points: DataFrame, intervals: DataFrame, on: list[str], t: str, lo: str, hi: str, bucket: int = 50, how: str = "inner",
+    long_spans: bool = False,
 ) -> DataFrame:
     """Join points to intervals with ``lo <= t <= hi`` and equal keys.
 
     The axis is cut into cells of ``bucket`` days (or units). An interval is copied into the cells it covers, a point
     lies in exactly one, so the join is an equi join on (keys, cell), hot keys spread over their cells, and a pair
     meets once. ``how`` may be inner, left_semi or left_anti over the points.
+
+    With ``long_spans`` intervals of more than 64 cells (open ends, sentinel dates) use cells 64 times as wide, and each point is
+    offered on both grids. An inner or semi join then costs twice the points instead of thousands of copies of an interval.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError("how must be inner, left_semi or left_anti")
@@ -59,20 +64,39 @@ def range_join(
     if how == "inner" and clash:
         raise ValueError(f"columns on both sides besides the keys: {clash}")
     kinds_p, kinds_i = dict(points.dtypes), dict(intervals.dtypes)
-    cell = F.floor(_position(t, kinds_p[t]) / bucket)
-    first, last = F.floor(_position(lo, kinds_i[lo]) / bucket), F.floor(_position(hi, kinds_i[hi]) / bucket)
+    at, start, stop = _position(t, kinds_p[t]), _position(lo, kinds_i[lo]), _position(hi, kinds_i[hi])
     names = {c: f"__i_{c}" for c in intervals.columns}
-    p = points.withColumn("__cell", cell)
-    i = intervals.where(F.col(lo) <= F.col(hi)).withColumn("__icell", F.explode(F.sequence(first, last))).withColumnsRenamed(names)
+    valid = intervals.where(F.col(lo) <= F.col(hi))
+    if long_spans and how == "left_anti":
+        # A point must miss the intervals of both grids.
+        wide = (stop - start) / bucket > WIDE
+        rest = range_join(points, valid.where(~wide), on, t, lo, hi, bucket, how)
+        return range_join(rest, valid.where(wide), on, t, lo, hi, bucket * WIDE, how)
+    if long_spans and how == "left_semi":
+        wide = (stop - start) / bucket > WIDE
+        hit = range_join(points, valid.where(~wide), on, t, lo, hi, bucket, how)
+        rest = range_join(points, valid.where(~wide), on, t, lo, hi, bucket, "left_anti")
+        return hit.union(range_join(rest, valid.where(wide), on, t, lo, hi, bucket * WIDE, how))
+    if long_spans:
+        width = F.when((stop - start) / bucket > WIDE, bucket * WIDE).otherwise(bucket)
+        p = points.withColumn("__width", F.explode(F.array(F.lit(bucket), F.lit(bucket * WIDE))))
+        i = valid.withColumn("__iwidth", width)
+        p, i = p.withColumn("__cell", F.floor(at / F.col("__width"))), i.withColumn("__icell", F.explode(F.sequence(F.floor(start / F.col("__iwidth")), F.floor(stop / F.col("__iwidth")))))
+    else:
+        p = points.withColumns({"__width": F.lit(0), "__cell": F.floor(at / bucket)})
+        i = valid.withColumns({"__iwidth": F.lit(0), "__icell": F.explode(F.sequence(F.floor(start / bucket), F.floor(stop / bucket)))})
+    i = i.withColumnsRenamed(names)
+    same_cell = F.col("__cell") == F.col("__icell")
+    if long_spans:
+        same_cell = same_cell & (F.col("__width") == F.col("__iwidth"))
     cond = reduce(
-        lambda x, y: x & y,
-        [F.col(k) == F.col(f"__i_{k}") for k in on],
-        (F.col("__cell") == F.col("__icell")) & (F.col(t) >= F.col(f"__i_{lo}")) & (F.col(t) <= F.col(f"__i_{hi}")),
+        lambda x, y: x & y, [F.col(k) == F.col(f"__i_{k}") for k in on],
+        same_cell & (F.col(t) >= F.col(f"__i_{lo}")) & (F.col(t) <= F.col(f"__i_{hi}")),
     )
     if how == "inner":
-        out = p.join(i, cond, "inner").drop("__cell", "__icell", *[f"__i_{k}" for k in on])
+        out = p.join(i, cond, "inner").drop("__cell", "__icell", "__width", "__iwidth", *[f"__i_{k}" for k in on])
         return out.withColumnsRenamed({v: k for k, v in names.items() if k not in on})
-    return p.join(i, cond, how).drop("__cell")
+    return p.join(i, cond, how).drop("__cell", "__width")
 
 
 def link_children(df: DataFrame, child_key: str, parent_key: str, keep: list[str], prefix: str = "parent_") -> DataFrame:

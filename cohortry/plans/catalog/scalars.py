@@ -260,3 +260,19 @@ def _(t):
     pairs = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     end, start = F.expr("CASE WHEN o_orderstatus = 'F' THEN o_orderdate END"), F.expr("CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END")
     return pairs.select("l_orderkey", "l_linenumber", C.offset_with_fallback(F.col("l_shipdate"), [(end, 280), (start, 0)]).cast("long").alias("day_no"))
+
+
+@query("published_encodings", """
+    SELECT l_orderkey, l_linenumber, CASE WHEN q IS NULL OR q<2 THEN 0 WHEN q<5 THEN 1 ELSE 2 END AS parity, CASE WHEN q IS NULL OR q<2 THEN 0 WHEN q<6 THEN 1 ELSE 2 END AS gravidity,
+      CASE WHEN q<18.5 THEN 0 WHEN q<25 THEN 1 WHEN q<30 THEN 2 WHEN q<35 THEN 3 WHEN q<40 THEN 4 ELSE -1 END AS bmi, CASE WHEN q<25 THEN 0 WHEN q<30 THEN 1 WHEN q<35 THEN 2 WHEN q<40 THEN 3 WHEN q<45 THEN 4 ELSE -1 END AS age,
+      CASE WHEN r<4 THEN 'Metropolitan' WHEN r<7 THEN 'Micropolitan' WHEN r<10 THEN 'SmallTown' WHEN r<99 THEN 'Rural' WHEN r=99 THEN 'NotCoded' END AS area,
+      CASE WHEN r<4 THEN 3 WHEN r<7 THEN 2 WHEN r<10 THEN 1 WHEN r<99 THEN 0 ELSE -1 END AS area_rank, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE -1 END AS delivery
+    FROM (SELECT *, nullif(l_quantity,7) AS q, CASE WHEN l_quantity>45 THEN 99.0 WHEN l_quantity>40 THEN 120.0 ELSE l_quantity/2 END AS r FROM lineitem)""")
+def _(t):
+    q = F.nullif("l_quantity", F.lit(7.0))
+    r = F.when(F.col("l_quantity") > 45, 99.0).when(F.col("l_quantity") > 40, 120.0).otherwise(F.col("l_quantity") / 2)
+    method = X.recode_map(F.col("l_returnflag"), {"A": "Vaginal, Breech", "R": "C-Section, Classical"}, "other")
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", *[C.encode(q, n).alias(n) for n in ("parity", "gravidity", "bmi", "age")],
+        C.rurality(r).alias("area"), C.rurality_rank(C.rurality(r)).alias("area_rank"), C.delivery_method(method).alias("delivery"),
+    )

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings the operators rely on; a value the caller has set explicitly wins.
+# Runtime SQL settings the operators rely on.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -33,6 +33,17 @@ def test_range_join_equals_band_join(frame, rows, bucket):
         assert rows(got) == rows(J.join(p, s, ["k"], how, "a.t BETWEEN b.lo AND b.hi"))
 
 
+@pytest.mark.parametrize("bucket", [1, 30, 400])
+def test_range_join_with_open_ended_intervals(frame, rows, bucket):
+    points, spans = pairs(120, 9)
+    spans += [("hot", 7000, dt.date(1900, 1, 1), dt.date(9999, 12, 31)), ("k1", 7001, dt.date(2020, 5, 1), dt.date(9999, 12, 31))]
+    p, s = frame(points, "k string, pid int, t date"), frame(spans, "k string, sid int, lo date, hi date")
+    got = J.range_join(p, s, ["k"], "t", "lo", "hi", bucket, long_spans=True).select("k", "pid", "sid")
+    assert rows(got) == rows(J.join(p, s, ["k"], "inner", "a.t BETWEEN b.lo AND b.hi").select("k", "pid", "sid"))
+    for how in ("left_semi", "left_anti"):
+        assert rows(J.range_join(p, s, ["k"], "t", "lo", "hi", bucket, how, True)) == rows(J.join(p, s, ["k"], how, "a.t BETWEEN b.lo AND b.hi"))
+
+
 @pytest.mark.parametrize("bucket", [1, 30, 400])
 def test_overlap_join_meets_each_pair_once(frame, rows, bucket):
     _, a = pairs(80, 4)
