@@ -97,19 +97,18 @@ def overlap_or_near(
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], bucket: int = CELL_DAYS) -> DataFrame:
-    """Pairs of rows with equal keys whose day spans overlap.
+    """Pairs of rows with equal keys whose day spans overlap, each once.
 
-    Both sides are copied into the time cells they cover; a pair is kept only in the first cell they share, so each pair occurs once.
+    Two spans overlap when one starts inside the other: either a starts within b, or b starts within a after a's first day.
+    Both halves are point-in-interval joins, so open-ended spans are no problem.
     """
-    def celled(df, span, first, cell):
-        d0, d1 = F.unix_date(F.to_date(span[0])), F.unix_date(F.to_date(span[1]))
-        lo, hi = F.floor(d0 / bucket), F.floor(d1 / bucket)
-        return df.where(d0 <= d1).withColumns({first: lo, cell: F.explode(F.sequence(lo, hi))})
-
-    left, right = celled(a, a_span, "__af", "__cell"), celled(b, b_span, "__bf", "__cell")
-    out = left.join(right, [*on, "__cell"]).where(F.col("__cell") == F.greatest("__af", "__bf"))
-    met = (F.to_date(a_span[0]) <= F.to_date(b_span[1])) & (F.to_date(b_span[0]) <= F.to_date(a_span[1]))
-    return out.where(met).drop("__cell", "__af", "__bf")
+    left = a.withColumns({"__a0": F.to_date(a_span[0]), "__a1": F.to_date(a_span[1])}).where("__a0 <= __a1")
+    right = b.withColumns({"__b0": F.to_date(b_span[0]), "__b1": F.to_date(b_span[1])}).where("__b0 <= __b1")
+    starts_in_b = range_join(left, right, on, "__a0", "__b0", "__b1", bucket, long_spans=True)
+    later = left.withColumn("__next", F.date_add("__a0", 1))
+    starts_in_a = range_join(right, later, on, "__b0", "__next", "__a1", bucket, long_spans=True)
+    both = starts_in_b.unionByName(starts_in_a.drop("__next"))
+    return both.drop("__a0", "__a1", "__b0", "__b1")
 
 
 def clipped_days(cohort: DataFrame, stays: DataFrame, keys: list[str], index: str, end: str, start: str = "start", stop: str = "stop") -> DataFrame:

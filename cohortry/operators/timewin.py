@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.operators.aggregate import _as_list, aggregate, require_columns
 from cohortry.operators.scan import join_same_keys, numbered_rows
 
+MAX_BUCKETS = 10_000
 UNITS = ("year", "month", "day", "12hour", "6hour", "hour")
 
 
@@ -63,8 +64,10 @@ def aggregate_by_window(
         raise ValueError("labels need an integer window column")
     measures = [f"{c}_{fn}" for c, fns in aggs.items() for fn in _as_list(fns)]
     if layout != "long" and values is None:
-        room = max_cols // max(len(measures), 1) + 1 if layout == "auto" else 10_000
+        room = max_cols // max(len(measures), 1) + 1 if layout == "auto" else MAX_BUCKETS + 1
         values = sorted(r[0] for r in df.select(win).where(F.col(win).isNotNull()).distinct().limit(room).collect())
+        if layout == "wide" and len(values) > MAX_BUCKETS:
+            raise ValueError(f"more than {MAX_BUCKETS} buckets: use the long layout")
     wide = layout == "wide" or (layout == "auto" and len(values) * len(measures) <= max_cols)
 
     def label_of(v):
