@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # The characters removed when free text is cleaned before matching.
 STRIPPED = ".*:-()"
+# The white space trimmed at both ends (ASCII and Unicode).
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _or(tests: list[Column]) -> Column:
@@ -20,8 +22,8 @@ def _or(tests: list[Column]) -> Column:
 
 def clean_string(c: Column) -> Column:
     """Null to '', drop ``.*:-()``, trim white space, lower-case, collapse runs of blanks."""
-    bare = F.translate(F.coalesce(c, F.lit("")), STRIPPED, "")
-    return F.regexp_replace(F.lower(F.regexp_replace(bare, r"^\s+|\s+$", "")), " +", " ")
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "[" + re.escape(STRIPPED) + "]", "")
+    return F.regexp_replace(F.lower(F.trim(bare, F.lit(SPACES))), " {2,}", " ")
 
 
 def zero_pad_front(c: Column, n: int = 3) -> Column:
