@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import toxicity
+from . import token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,13 @@ def query(fn):
     return fn
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary package keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op7_toxicity(table):
     """Toxicity score of every document; learnt from rows outside the held-out fold."""
@@ -37,3 +44,10 @@ def op7_toxicity(table):
         F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_sentences", "worst_score", "worst_start", "worst_end",
     )
+
+
+@query
+def op4_token_counts(table):
+    """Tokens of every whole text under the 32k piece vocabulary, and whether they exceed 4096."""
+    counted = token_counts.count_tokens(table("documents"), tokenizer_file("piece_bpe_32k.model"), "doc_id", "text")
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
