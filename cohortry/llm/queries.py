@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import token_counts, toxicity
+from . import packing, token_counts, toxicity
+from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +21,7 @@ def query(fn):
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         configure(spark)
+        importable(spark)
         return fn(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
 
     run.__doc__, run.__module__ = fn.__doc__, fn.__module__
@@ -51,3 +53,9 @@ def op4_token_counts(table):
     """Tokens of every whole text under the 32k piece vocabulary, and whether they exceed 4096."""
     counted = token_counts.count_tokens(table("documents"), tokenizer_file("piece_bpe_32k.model"), "doc_id", "text")
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op9_best_fit_packing(table):
+    """All documents in sequences of at most 2048 tokens: place of each piece."""
+    return packing.pack_documents(table("documents"), tokenizer_file("word_bpe_49k.json"), "doc_id", "text").withColumnRenamed("id", "doc_id")

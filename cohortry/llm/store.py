@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -46,6 +49,14 @@ def clear(spark: SparkSession | None = None) -> None:
 atexit.register(clear)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster submits it with ``--py-files``)."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names, so that other columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -19,8 +19,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,17 +190,18 @@ def count_tokens(docs: DataFrame, path: str, id_col: str, text_col: str, chunk:
 
     def maps(batches):
         machine, _ = from_sentencepiece(path)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for part, k, more in zip(pdf["part"], pdf["k"], pdf["more"], strict=True):
+            for part, k, more in zip(*(batch.column(c).to_pylist() for c in ("part", "k", "more")), strict=True):
                 part = part.replace(" ", SPACE)
                 part = SPACE + part if k == 0 and part else part  # the model puts a space before the text
                 out.append(machine.map(part) if more else ("", machine.closed(part), ""))
             head, middle, tail = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "n_bytes": pdf["n_bytes"], "k": pdf["k"], "head": head, "middle": pd.array(middle, "Int64"), "tail": tail})
+            own = [pa.array(head, pa.string()), pa.array(middle, pa.int64()), pa.array(tail, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.select(["row", "id", "n_bytes", "k"]).columns, *own], names=["row", "id", "n_bytes", "k", "head", "middle", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    mapped = parts.mapInPandas(maps, f"row long, id {kind}, n_bytes long, k int, head string, middle long, tail string")
+    mapped = parts.mapInArrow(maps, f"row long, id {kind}, n_bytes long, k int, head string, middle long, tail string")
     grouped = mapped.groupBy("row").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("k", "head", "middle", "tail"))).alias("maps"))
 
     @F.pandas_udf("long")
