@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import packing, token_counts, toxicity
+from . import neighbours, packing, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,10 @@ def op4_token_counts(table):
 def op9_best_fit_packing(table):
     """All documents in sequences of at most 2048 tokens: place of each piece."""
     return packing.pack_documents(table("documents"), tokenizer_file("word_bpe_49k.json"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_neighbours(table):
+    """The five nearest vectors of every 50th vector, searched exactly."""
+    vectors = table("embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", k=5, factor=1.0)
