@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import neighbours, packing, token_counts, toxicity
+from . import neighbours, packing, secret_scan, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op8_neighbours(table):
     """The five nearest vectors of every 50th vector, searched exactly."""
     vectors = table("embeddings")
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", k=5, factor=1.0)
+
+
+@query
+def op2_secret_scan(table):
+    """Secrets of every whole text: fixed patterns and novel strings in sensitive context."""
+    return secret_scan.scan(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
