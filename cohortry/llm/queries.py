@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import neighbours, packing, secret_scan, token_counts, toxicity
+from . import license_scan, neighbours, packing, secret_scan, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op8_neighbours(table):
 def op2_secret_scan(table):
     """Secrets of every whole text: fixed patterns and novel strings in sensitive context."""
     return secret_scan.scan(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_license_scan(table):
+    """Licence phrases and labels of every whole text."""
+    return license_scan.scan(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").drop("matches")
