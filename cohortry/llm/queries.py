@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import license_scan, neighbours, packing, secret_scan, token_counts, toxicity
+from . import license_scan, neighbours, ngram_join, packing, secret_scan, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,10 @@ def op2_secret_scan(table):
 def op6_license_scan(table):
     """Licence phrases and labels of every whole text."""
     return license_scan.scan(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").drop("matches")
+
+
+@query
+def op5_ngram_jaccard(table):
+    """Components of documents whose sets of 3-word shingles reach the Jaccard similarity 0.9."""
+    joined = ngram_join.join_documents(table("documents"), "doc_id", "text", width=3, top=90, bottom=100)
+    return joined.withColumnRenamed("id", "doc_id").drop("n_links")
