@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import license_scan, neighbours, ngram_join, packing, secret_scan, token_counts, toxicity
+from . import decontaminate, license_scan, neighbours, ngram_join, packing, secret_scan, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,10 @@ def op5_ngram_jaccard(table):
     """Components of documents whose sets of 3-word shingles reach the Jaccard similarity 0.9."""
     joined = ngram_join.join_documents(table("documents"), "doc_id", "text", width=3, top=90, bottom=100)
     return joined.withColumnRenamed("id", "doc_id").drop("n_links")
+
+
+@query
+def op3_decontamination(table):
+    """Benchmark items in documents: one row per document and item."""
+    found = decontaminate.leaks(table("documents"), "doc_id", "text", table("benchmark"), "item_id", "text")
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")
