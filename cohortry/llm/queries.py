@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import decontaminate, license_scan, neighbours, ngram_join, packing, secret_scan, token_counts, toxicity
+from . import decontaminate, license_scan, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op3_decontamination(table):
     """Benchmark items in documents: one row per document and item."""
     found = decontaminate.leaks(table("documents"), "doc_id", "text", table("benchmark"), "item_id", "text")
     return found.withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")
+
+
+@query
+def op10_suffix_dedup(table):
+    """Every text without the bytes of 400-byte strings that start anywhere else too."""
+    return suffix_dedup.remove_repeats(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
