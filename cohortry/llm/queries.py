@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import decontaminate, license_scan, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
+from . import decontaminate, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from .store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op3_decontamination(table):
 def op10_suffix_dedup(table):
     """Every text without the bytes of 400-byte strings that start anywhere else too."""
     return suffix_dedup.remove_repeats(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_line_dedup(table):
+    """Lines that repeat or nearly repeat an earlier line, per document."""
+    return line_dedup.dedup_lines(table("documents"), "doc_id", "text", keep_text=False).withColumnRenamed("id", "doc_id")
