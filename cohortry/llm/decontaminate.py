@@ -159,36 +159,50 @@ def _index(token: str, texts) -> Index:
     return _INDEXES[token]
 
 
-def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    """One row per document row and benchmark item in it: id, item, similarity, first word, words of the item."""
-    spark = docs.sparkSession
+def passes(items: DataFrame, item_col: str, item_text_col: str):
+    """The benchmark in shares of at most about ``PASS_BYTES``: (broadcast ids, broadcast texts, name of the share)."""
+    context = items.sparkSession.sparkContext
     bench = pick(items, item=item_col, text=item_text_col).where("item is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // PASS_BYTES))
-    rows = pick(docs, id=id_col, text=text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    item_type = items.schema[item_col].dataType
-    out = None
-    for k in range(passes):
-        # a share of at most about PASS_BYTES
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        names = spark.sparkContext.broadcast([r["item"] for r in part])
-        texts, token = spark.sparkContext.broadcast([r["text"] for r in part]), uuid.uuid4().hex
+    n = max(1, -(-total // PASS_BYTES))
+    for k in range(n):
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
+        yield context.broadcast([r["item"] for r in part]), context.broadcast([r["text"] for r in part]), uuid.uuid4().hex
+
+
+def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """One row per document row and benchmark item in it: id, item, similarity, first word, words of the item."""
+    rows, out = pick(docs, id=id_col, text=text_col), None
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
+    for names, texts, token in passes(items, item_col, item_text_col):
 
         def run(batches, names=names, texts=texts, token=token):
             index = _index(token, texts)
             for batch in slices(batches, "text", SLICE):
                 found = index.verified(batch.column("text"))
                 ids = batch.column("id").take(pa.array([f[0] for f in found], pa.int64()))
-                item = pa.array([names.value[f[1]] for f in found], ARROW[item_type.typeName()] if item_type.typeName() in ARROW else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, item, pa.array([f[3] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64()), pa.array([int(index.n_words[f[1]]) for f in found], pa.int64())],
-                    names=["id", "item", "similarity", "first_word", "n_words"],
-                )
+                item = pa.array([names.value[f[1]] for f in found], ARROW.get(item_type.typeName()))
+                numbers = [pa.array([f[2] for f in found], pa.int64()), pa.array([int(index.n_words[f[1]]) for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([ids, item, pa.array([f[3] for f in found], pa.float64()), *numbers], names=["id", "item", "similarity", "first_word", "n_words"])
 
         one = rows.mapInArrow(run, f"id {kind}, item {item_type.simpleString()}, similarity double, first_word long, n_words long")
         out = one if out is None else out.union(one)
     return out
 
 
+def clean(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark item."""
+    for _, texts, token in passes(items, item_col, item_text_col):
+
+        def run(batches, texts=texts, token=token):
+            index = _index(token, texts)
+            for batch in slices(batches, text_col, SLICE):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[f[0] for f in index.verified(batch.column(text_col))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "short": pa.int16()}

@@ -17,7 +17,7 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ASCII_SPACE, LOWER, Rolling, mix, slices, text_bytes, word_spans
@@ -193,7 +193,10 @@ def block_pairs(open_rows: DataFrame, pair_type: str) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3, top: int = 90, bottom: int = 100) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links (verified links of its set with other sets that were needed)."""
+    """One row per document: id, n_shingles, component_id, n_links (verified links of its set with other sets that were needed).
+
+    Also the text key (t1, t2) and the component's own key, which tell texts of equal ids apart.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", text).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
     described = saved(describe(rows, width, top, bottom), "described")
@@ -228,6 +231,21 @@ def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     named = one.select("class", "first_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    table = named.join(names, "component").select("class", "component_id").join(degree, "class", "left")
-    out = described.select("id", "n", "class").join(table, "class", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    table = named.join(names, "component").select("class", "component", "component_id").join(degree, "class", "left")
+    out = described.select("id", "t1", "t2", "n", "class").join(table, "class", "left")
+    return out.select("id", "t1", "t2", "component", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
+    """The rows, with all their columns, of one document of each component: the one with the smallest id. Documents without words stay."""
+    joined = saved(join_documents(docs, id_col, text_col, width, top, bottom), "joined")
+    key = F.struct("id", "t1", "t2")
+    chosen = joined.where("component is not null").groupBy("component").agg(F.min(key).alias("__key")).select("__key")
+    chosen = chosen.union(joined.where("component is null").select(key.alias("__key")).distinct())
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = docs.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")))
+    kept = own.join(chosen, "__key")
+    # rows of equal id and text are copies too; they already lie together
+    first = Window.partitionBy("__key").orderBy("__key")
+    empty = F.trim(text) == ""
+    return kept.withColumn("__n", F.row_number().over(first)).where((F.col("__n") == 1) | empty).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.session import configure
 
 from . import decontaminate, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
-from .store import importable
+from .store import importable, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,13 +29,6 @@ def query(fn):
     return fn
 
 
-def tokenizer_file(name: str) -> str:
-    """Where the installed vocabulary package keeps a file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op7_toxicity(table):
     """Toxicity score of every document; learnt from rows outside the held-out fold."""
@@ -84,7 +77,7 @@ def op6_license_scan(table):
 def op5_ngram_jaccard(table):
     """Components of documents whose sets of 3-word shingles reach the Jaccard similarity 0.9."""
     joined = ngram_join.join_documents(table("documents"), "doc_id", "text", width=3, top=90, bottom=100)
-    return joined.withColumnRenamed("id", "doc_id").drop("n_links")
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query
@@ -103,4 +96,4 @@ def op10_suffix_dedup(table):
 @query
 def op1_line_dedup(table):
     """Lines that repeat or nearly repeat an earlier line, per document."""
-    return line_dedup.dedup_lines(table("documents"), "doc_id", "text", keep_text=False).withColumnRenamed("id", "doc_id")
+    return line_dedup.dedup_lines(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")

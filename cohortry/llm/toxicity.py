@@ -167,3 +167,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str, text_co
     schema = f"id {kind.simpleString()}, score double, n_sentences long, worst_score double, worst_start long, worst_end long"
     schema += ", sentences array<struct<start: long, end: long, p: double>>" if spans else ""
     return pick(docs, id=id_col, text=text_col).mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in slices(batches, text_col):
+            ids, of, text, _ = features(batch.column(text_col))
+            ids, of = distinct(ids, of, shared.value)
+            _, q = noisy_or(ids, of, text, batch.num_rows, shared.value.astype(np.float64), bias)
+            yield batch.filter(pa.array(q < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
