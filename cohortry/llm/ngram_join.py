@@ -26,7 +26,8 @@ from .store import pick, saved
 
 BAND = 1.5
 BITS = 2048
-BLOCK = 256
+BLOCK = 512
+PAIR = "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,17 +141,36 @@ def least_overlap(a, b, top: int, bottom: int):
     return -(-(top * (a + b)) // (bottom + top))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity: bitmap bound first, then the exact intersection."""
-    pair = "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>"
+def most_common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlaps: a bit that only one bitmap has is a shingle that the other set lacks."""
+    return np.minimum(na - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
+
+
+def bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def side(sets: DataFrame, p: str, *columns: str) -> DataFrame:
+    names = {"n": "n", "bitmap": "bits", "shingles": "h"}
+    return sets.select(F.col("class").alias(p), *[F.col(c).alias(p + names[c]) for c in columns])
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule the similarity out."""
 
     def bound(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("abits", "bbits"))
             na, nb = (batch.column(c).to_numpy() for c in ("an", "bn"))
-            most = np.minimum(na - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+            most = most_common(bitmaps(batch.column("abits")), na, bitmaps(batch.column("bbits")), nb)
             yield batch.select(["a", "b"]).filter(pa.array(most >= least_overlap(na, nb, top, bottom)))
 
+    both = pairs.join(side(sets, "a", "n", "bitmap"), "a").join(side(sets, "b", "n", "bitmap"), "b")
+    return both.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(bound, PAIR)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity, by the exact intersection of their sorted shingles."""
+
     def exact(batches):
         for batch in batches:
             keep = []
@@ -160,36 +180,34 @@ def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFram
                 keep.append(bottom * common >= top * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def side(p: str, *columns: str) -> DataFrame:
-        names = {"n": "n", "bitmap": "bits", "shingles": "h"}
-        return sets.select(F.col("class").alias(p), *[F.col(c).alias(p + names[c]) for c in columns])
-
-    possible = pairs.join(side("a", "n", "bitmap"), "a").join(side("b", "n", "bitmap"), "b").select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(bound, pair)
-    possible = saved(possible, "possible")
-    return possible.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "ah", "bh").mapInArrow(exact, pair)
+    both = pairs.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    return both.select("a", "b", "ah", "bh").mapInArrow(exact, PAIR)
 
 
-def block_pairs(open_rows: DataFrame, pair_type: str) -> DataFrame:
-    """Pairs of different components in each tile, block against block: (tile, class, component, members of the tile) to (a, b).
+def block_pairs(open_rows: DataFrame, top: int, bottom: int) -> DataFrame:
+    """Pairs of different components in each tile that the bitmaps do not rule out, from (tile, class, component, members, n, bitmap).
 
     A member goes to as many block pairs as its tile has blocks of ``BLOCK`` members; a task compares two blocks at a time.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     rows = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "n", "bitmap")
 
     def cross(key, table):
         _, i, j = (k.as_py() for k in key)
         names = table["class"].combine_chunks()
-        own = table["own"].to_numpy()
+        own, size, bits = table["own"].to_numpy(), table["n"].to_numpy(), bitmaps(table["bitmap"])
         codes = np.unique(np.stack([np.asarray(table["component"].combine_chunks().field(f)) for f in range(2)], 1), axis=0, return_inverse=True)[1].ravel()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.meshgrid(left, right, indexing="ij")
-        good = (codes[x] != codes[y]) & ((x < y) if i == j else True)
-        return pa.table({"a": names.take(pa.array(x[good])), "b": names.take(pa.array(y[good]))})
+        left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        for x in left:
+            y = right[(codes[right] != codes[x]) & ((right > x) | (i != j))]
+            y = y[most_common(bits[x], size[x], bits[y], size[y]) >= least_overlap(size[x], size[y], top, bottom)]
+            found.append(np.stack([np.full(len(y), x), y], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": names.take(pa.array(pairs[:, 0])), "b": names.take(pa.array(pairs[:, 1]))})
 
-    return rows.groupBy("tile", "i", "j").applyInArrow(cross, pair_type)
+    return rows.groupBy("tile", "i", "j").applyInArrow(cross, PAIR)
 
 
 def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3, top: int = 90, bottom: int = 100) -> DataFrame:
@@ -214,18 +232,17 @@ def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
     sets = saved(sets_of(texts, width).groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles")), "sets")
 
     pairs = members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    links = saved(linked(pairs, sets, top, bottom), "links")
+    links = saved(linked(saved(bounded(pairs, sets, top, bottom), "possible"), sets, top, bottom), "links")
     labels = components(links)
 
     placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # tiles of equal membership are one; those within one component need no more
     groups = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("set"), F.count(F.lit(1)).alias("members"))
     undecided = groups.where("lo <> hi").groupBy("set", "members").agg(F.min("tile").alias("tile"))
-    open_rows = placed.drop("members").join(undecided.select("tile", "members"), "tile").select("tile", "class", "component", "members")
-    tested = members.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    more = block_pairs(open_rows, "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = saved(links.union(linked(saved(more, "pairs"), sets, top, bottom)), "links")
+    open_rows = placed.drop("members").join(undecided.select("tile", "members"), "tile").join(sets.select("class", "n", "bitmap"), "class")
+    more = block_pairs(open_rows.select("tile", "class", "component", "members", "n", "bitmap"), top, bottom)
+    more = saved(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
+    links = saved(links.union(linked(more.join(links, ["a", "b"], "left_anti"), sets, top, bottom)), "links")
     labels = components(links)
 
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
