@@ -55,7 +55,7 @@ def stage(days: Column, cuts=STAGE_CUTS, names=("1st trimester", "2nd trimester"
     return F.when(days <= cuts[0], names[0]).when(days <= cuts[1], names[1]).when(days.isNotNull(), names[2])
 
 
-def gestation_category(days: Column, cuts=GESTATION_CUTS, names=("term", "late_preterm", "moderate_preterm", "very_preterm", "extreme_preterm")) -> Column:
+def gestation_category(days: Column, cuts=GESTATION_CUTS, names=("term", "late_preterm", "moderate_preterm", "very_preterm", "extremely_preterm")) -> Column:
     """Category by descending day thresholds; below the last one is the final name."""
     out = F.when(days >= cuts[0], names[0])
     for cut, name in zip(cuts[1:], names[1:]):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.clinical import TERM_DAYS, gestation_category, period, result_category_agg, result_short
-from cohortry.functions.scalars import all_in, any_within, phrase_tier, recode_map, regex_first
+from cohortry.functions.scalars import all_in, any_within, any_without, phrase_tier, recode_map, regex_first
 from cohortry.operators.aggregate import dedupe
 from cohortry.operators.filters import eligible, null_if
 from cohortry.operators.joins import join
@@ -16,6 +16,10 @@ from cohortry.operators.temporal import _attach, _in_window, _windows, event_aft
 from cohortry.session import checkpoint
 
 
+# Actions by which a dose was not administered.
+NOT_GIVEN = ["Canceled Entry", "Held", "Missed", "Automatically Held", "Held by Provider", "MAR Hold", "Stopped", "Paused"]
+
+
 def parent_child_cohort(
     episodes: DataFrame, keys: list[str], episode: str, parent: str, delivery: str, due: str, keep: list[str] = (), term: int = TERM_DAYS,
 ) -> DataFrame:
@@ -83,16 +87,19 @@ def event_after_end(cohort: DataFrame, facts: DataFrame, keys: list[str], t: str
     return flagged.where("__hit = 1").drop("__hit")
 
 
-def series_complete(ledger: DataFrame, rules: list[tuple[str, str, int]], delay: int = 14) -> DataFrame:
+def series_complete(ledger: DataFrame, rules: list[tuple[str, str, int]], delay: int = 14, until: str | None = None) -> DataFrame:
     """Completed dose series of each ledger row: product and completion date (null where none).
 
-    A rule is (product, LIKE pattern, doses): with 1 dose the first entry must match and completes after ``delay`` days;
-    with 2, the first two entries (distinct days) must match and the second one counts. The first rule met wins.
+    A rule is (product, LIKE pattern, doses): with 1 dose the first entry must match and completes after ``delay`` days, if the last
+    entry is of the same label or the second one comes after the date in ``until``; with 2, the first two entries (distinct days) must match and the second one counts. The first rule met wins.
     """
     product, date = F.lit(None).cast("string"), F.lit(None).cast("date")
     entry = [F.try_element_at("entries", F.lit(i)) for i in (1, 2)]
+    later = F.coalesce(entry[1]["date"] > F.to_date(until), F.lit(False)) if until else F.lit(False)
+    unmixed = (F.try_element_at("entries", F.lit(-1))["label"] == entry[0]["label"]) | later
     for name, pattern, doses in reversed(rules):
         met = reduce(lambda a, b: a & b, [entry[i]["label"].like(pattern) for i in range(doses)])
+        met = met & unmixed if doses == 1 else met
         product = F.when(met, name).otherwise(product)
         date = F.when(met, F.date_add(entry[doses - 1]["date"], delay)).otherwise(date)
     return ledger.withColumns({"product": product, "complete_date": date})
@@ -111,17 +118,19 @@ def not_yet(cohort: DataFrame, ledger: DataFrame, keys: list[str], anchor: str)
     return cohort.join(first, keys, "left").where(F.col("__first").isNull() | (F.col("__first") > F.to_date(anchor))).drop("__first")
 
 
-def boosters(cohort: DataFrame, ledger: DataFrame, keys: list[str], anchor: str, gap_days: int = 168) -> DataFrame:
+def boosters(cohort: DataFrame, ledger: DataFrame, keys: list[str], anchor: str, gap_days: int = 168, delay: int = 14) -> DataFrame:
     """Cohort rows with booster date, days since the second entry, and status at the anchor.
 
-    The booster is the third distinct date, when it lies before the anchor and more than ``gap_days`` after the second.
+    The booster is the third distinct date, when it lies before the anchor. ``booster_late`` tells whether it also lies more than
+    ``gap_days`` after the completed series, ``delay`` days after the second date.
     """
     second, third = [F.try_element_at("entries", F.lit(i))["date"] for i in (2, 3)]
     steps = ledger.select(*keys, second.alias("__second"), third.alias("__third"))
     gap = F.datediff("__third", "__second")
-    boosted = F.coalesce((F.col("__third") < F.to_date(anchor)) & (gap > gap_days), F.lit(False))
+    boosted = F.coalesce(F.col("__third") < F.to_date(anchor), F.lit(False))
     return cohort.join(steps, keys, "left").withColumns({
         "booster_date": F.when(boosted, F.col("__third")), "booster_gap": F.when(boosted, gap), "boosted": boosted.cast("int"),
+        "booster_late": (boosted & F.coalesce(gap > gap_days + delay, F.lit(False))).cast("int"),
     }).drop("__second", "__third")
 
 
@@ -160,14 +169,17 @@ def payor(
 def exposure(
     daily: DataFrame, keys: list[str], t: str, names: str, excluded: list[str], keywords: list[str],
     lo: str | None = None, hi: str | None = None, level: tuple[str, object] | None = None,
+    actions: str | None = None, not_given: list[str] = NOT_GIVEN,
 ) -> DataFrame:
-    """First exposed day per key: names not all excluded, one containing a keyword, inside the row's span, at the given level.
+    """First exposed day per key: every name with a keyword, not all names excluded, inside the row's span, at the given level.
 
-    ``names`` is an array column of what was given that day.
+    ``names`` is an array column of what was given that day, ``actions`` one of what was done; a day on which nothing but
+    ``not_given`` was done does not count.
     """
     listed = F.col(names)
-    wanted = F.exists(listed, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(k.lower())) for k in keywords]))
-    rows = daily.where(wanted & ~all_in(listed, excluded))
+    rows = daily.where(~any_without(listed, keywords) & ~((F.size(listed) > 0) & all_in(listed, excluded)))
+    if actions is not None:
+        rows = rows.where((F.size(actions) == 0) | ~all_in(F.col(actions), not_given))
     if lo is not None:
         rows = rows.where(F.col(t) >= F.col(lo))
     if hi is not None:

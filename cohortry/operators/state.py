@@ -53,11 +53,15 @@ def daily_state(
     tables: list[DataFrame], keys: list[str], nominal: str, supports: list[str], disposition: str,
     first_of: dict[str, list[str]] | None = None, name: str = "score",
 ) -> DataFrame:
-    """Union of the day keys of all tables, each table attached once, ids coalesced, adjusted score added."""
+    """Union of the day keys of all tables, each table attached once, ids coalesced, adjusted score added.
+
+    A support column counts as given if it is a number above zero, or a text that is not empty.
+    """
     out = spine_join(tables, keys)
     for target, cols in (first_of or {}).items():
         out = out.withColumn(target, F.coalesce(*cols))
-    tests = [F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0") for c in supports]
+    kinds = dict(out.dtypes)
+    tests = [F.coalesce(F.col(c) != "" if kinds[c] == "string" else F.col(c).cast("double") > 0, F.lit(False)) for c in supports]
     return out.withColumn(name, adjusted_score(F.col(nominal), tests, F.col(disposition)))
 
 
@@ -114,11 +118,15 @@ def rule_class(df: DataFrame, rules: DataFrame, item: str, detail: str, name: st
     return join_same_keys(df, found, [item, detail], "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def level_max(df: DataFrame, by: list[str], tokens: str, levels: dict[str, int], delimiter: str = ";", bump: tuple[Column, int] | None = None, name: str = "level") -> DataFrame:
-    """Highest level among the tokens of all rows of a person, raised to ``bump[1]`` where the condition ever holds."""
-    rows = df.withColumns({"__level": F.coalesce(token_max(F.col(tokens), delimiter, levels), F.lit(0)), "__bump": F.coalesce(bump[0], F.lit(False)) if bump else F.lit(False)})
+def level_max(df: DataFrame, by: list[str], tokens: str, levels: dict[str, int], delimiter: str = ";", bump: tuple[Column, int, int] | None = None, name: str = "level") -> DataFrame:
+    """Highest level among the tokens of all rows of a person. ``bump`` = (condition, from, to): the level ``from``, and no other,
+    becomes ``to`` where the condition ever holds on a row with tokens."""
+    rows = df.withColumns({
+        "__level": F.coalesce(token_max(F.col(tokens), delimiter, levels), F.lit(0)),
+        "__bump": F.coalesce(bump[0], F.lit(False)) & F.col(tokens).isNotNull() if bump else F.lit(False),
+    })
     best = F.max("__level")
-    value = F.when(F.max("__bump"), F.greatest(best, F.lit(bump[1]))).otherwise(best) if bump else best
+    value = F.when(F.max("__bump") & (best == bump[1]), F.lit(bump[2])).otherwise(best) if bump else best
     return rows.groupBy(*by).agg(value.alias(name))
 
 

@@ -24,7 +24,7 @@ def _windows(cohort: DataFrame, keys: list[str], lo: Column, hi: Column) -> Data
 def _in_window(windows: DataFrame, daily: DataFrame, keys: list[str]) -> DataFrame:
     """Daily facts (with a ``__day``) inside each distinct (keys, __lo, __hi)."""
     spans = windows.select(*keys, "__lo", "__hi").distinct()
-    return range_join(daily, spans, keys, "__day", "__lo", "__hi", CELL_DAYS)
+    return range_join(daily, spans, keys, "__day", "__lo", "__hi", CELL_DAYS, long_spans=True)
 
 
 def _attach(windows: DataFrame, found: DataFrame, keys: list[str], fill: dict) -> DataFrame:
@@ -60,7 +60,7 @@ def in_windows(cohort: DataFrame, facts: DataFrame, keys: list[str], t: str, win
         "__hi": F.least(*his) if len(his) > 1 else his[0],
     })
     points = facts.withColumn("__day", F.to_date(t))
-    return range_join(points, both, keys, "__day", "__lo", "__hi", CELL_DAYS).drop("__day", "__lo", "__hi")
+    return range_join(points, both, keys, "__day", "__lo", "__hi", CELL_DAYS, long_spans=True).drop("__day", "__lo", "__hi")
 
 
 def unexposed(cohort: DataFrame, exposed: DataFrame, keys: list[str], person_keys: list[str]) -> DataFrame:
@@ -114,7 +114,12 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, s
 def clipped_days(cohort: DataFrame, stays: DataFrame, keys: list[str], index: str, end: str, start: str = "start", stop: str = "stop") -> DataFrame:
     """Per (keys, index, end): inclusive days of stays from the index on that start before ``end``, with first start and last stop."""
     spans = cohort.select(*keys, index, end).distinct().withColumn("__until", F.date_sub(F.to_date(end), 1))
-    pairs = overlap_join(spans, stays, keys, (index, "__until"), (start, stop))
+    pairs = overlap_join(spans, stays, keys, (index, "__until"), (start, stop)).drop("__until")
+    # an index on or after the end: the stay must begin before the end and last until the index
+    late = spans.where(F.to_date(index) > F.col("__until")).withColumn("__at", F.to_date(index))
+    around = stays.withColumns({"__b0": F.to_date(start), "__b1": F.to_date(stop)})
+    around = range_join(late, around, keys, "__at", "__b0", "__b1", CELL_DAYS, long_spans=True).where("__b0 <= __until")
+    pairs = pairs.unionByName(around.drop("__until", "__at", "__b0", "__b1"))
     begin = F.greatest(F.to_date(start), F.to_date(index))
     return pairs.groupBy(*keys, index, end).agg(
         F.sum(F.datediff(F.to_date(stop), begin) + 1).alias("days"), F.min(begin).alias("first_start"), F.max(F.to_date(stop)).alias("last_stop")

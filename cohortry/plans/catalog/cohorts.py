@@ -13,13 +13,13 @@ from cohortry.plans.registry import query
 @query("delivery_self_join", """
     WITH x AS (SELECT o_orderkey, l_linenumber, o_custkey, l_shipdate::date AS d, o_orderdate::date AS due, 280+date_diff('day',o_orderdate::date,l_shipdate::date) AS g FROM lineitem JOIN orders ON o_orderkey=l_orderkey)
     SELECT o_custkey AS person, 'o'||o_orderkey AS episode_id, 'l'||o_orderkey||'-'||l_linenumber AS child_episode_id, g::int AS gestational_days,
-      CASE WHEN g>=259 THEN 'term' WHEN g>=238 THEN 'late_preterm' WHEN g>=224 THEN 'moderate_preterm' WHEN g>=196 THEN 'very_preterm' ELSE 'extreme_preterm' END AS gestation_category,
-      strftime(due-280,'%Y-%m-%d') AS start_date FROM x WHERE g BETWEEN 140 AND 300""")
+      CASE WHEN g>=259 THEN 'term' WHEN g>=238 THEN 'late_preterm' WHEN g>=224 THEN 'moderate_preterm' WHEN g>=196 THEN 'very_preterm' ELSE 'extremely_preterm' END AS gestation_category,
+      strftime(due-280,'%Y-%m-%d') AS start_date FROM x""")
 def _(t):
     parents = t.orders.select(F.col("o_custkey").alias("person"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit(None).cast("string").alias("up"), F.lit(None).cast("date").alias("delivery"), F.to_date("o_orderdate").alias("due"))
     pairs = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     kids = pairs.select(F.col("o_custkey").alias("person"), F.concat(F.lit("l"), F.concat_ws("-", "o_orderkey", "l_linenumber")).alias("id"), F.concat(F.lit("o"), "o_orderkey").alias("up"), F.to_date("l_shipdate").alias("delivery"), F.lit(None).cast("date").alias("due"))
-    r = C.parent_child_cohort(parents.union(kids), ["person"], "id", "up", "delivery", "due").where("gestational_days BETWEEN 140 AND 300")
+    r = C.parent_child_cohort(parents.union(kids), ["person"], "id", "up", "delivery", "due")
     return r.select("person", "episode_id", "child_episode_id", "gestational_days", "gestation_category", day("start_date").alias("start_date"))
 
 
@@ -70,9 +70,8 @@ def _(t):
 
 # Dose ledger: an order is a dose, its priority the product.
 DOSES = "WITH d AS (SELECT o_custkey AS p, o_orderdate::date AS d, min(o_orderpriority) AS k FROM orders WHERE o_orderstatus<>'P' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d) AS rn FROM d), " \
-    "l AS (SELECT p, max(d) FILTER (rn=1) AS d1, max(k) FILTER (rn=1) AS k1, max(d) FILTER (rn=2) AS d2, max(k) FILTER (rn=2) AS k2, max(d) FILTER (rn=3) AS d3 FROM r GROUP BY 1), " \
-    "s AS (SELECT *, CASE WHEN k1 LIKE '1-%' THEN 'single' WHEN k1 LIKE '%-%I%' AND k2 LIKE '%-%I%' THEN 'pair' END AS product, CASE WHEN k1 LIKE '1-%' THEN d1+14 WHEN k1 LIKE '%-%I%' AND k2 LIKE '%-%I%' THEN d2+14 END AS done FROM l), " \
-    "c AS (SELECT c_custkey AS p, DATE '1998-01-01' + (c_nationkey*20) AS anchor FROM customer) "
+    "l AS (SELECT p, max(d) FILTER (rn=1) AS d1, max(k) FILTER (rn=1) AS k1, max(d) FILTER (rn=2) AS d2, max(k) FILTER (rn=2) AS k2, max(d) FILTER (rn=3) AS d3, arg_max(k,rn) AS kl FROM r GROUP BY 1), c AS (SELECT c_custkey AS p, DATE '1998-01-01' + (c_nationkey*20) AS anchor FROM customer), " \
+    "q AS (SELECT l.*, k1 LIKE '1-%' AND (kl=k1 OR coalesce(d2>anchor,false)) AS one FROM l LEFT JOIN c USING (p)), s AS (SELECT * EXCLUDE (one), CASE WHEN one THEN 'single' WHEN k1 LIKE '%-%I%' AND k2 LIKE '%-%I%' THEN 'pair' END AS product, CASE WHEN one THEN d1+14 WHEN k1 LIKE '%-%I%' AND k2 LIKE '%-%I%' THEN d2+14 END AS done FROM q) "
 RULES = [("single", "1-%", 1), ("pair", "%-%I%", 2)]
 
 
@@ -85,14 +84,18 @@ def _anchored(t):
     return t.customer.select(F.col("c_custkey").alias("p"), F.date_add(F.lit("1998-01-01").cast("date"), F.col("c_nationkey") * 20).alias("anchor"))
 
 
+def _series(t):
+    return C.series_complete(_ledger(t).join(_anchored(t), "p", "left"), RULES, until="anchor")
+
+
 @query("series_completion", DOSES + "SELECT p, product, strftime(done,'%Y-%m-%d') AS complete_date FROM s")
 def _(t):
-    return C.series_complete(_ledger(t), RULES).select("p", "product", day("complete_date").alias("complete_date"))
+    return _series(t).select("p", "product", day("complete_date").alias("complete_date"))
 
 
 @query("breakthrough", DOSES + "SELECT p, product FROM c JOIN s USING (p) WHERE done + 14 < anchor")
 def _(t):
-    return C.breakthrough(_anchored(t), C.series_complete(_ledger(t), RULES), ["p"], "anchor", 14).select("p", "product")
+    return C.breakthrough(_anchored(t), _series(t).drop("anchor"), ["p"], "anchor", 14).select("p", "product")
 
 
 @query("not_yet_dosed", DOSES + "SELECT p FROM c LEFT JOIN l USING (p) WHERE d1 IS NULL OR d1 > anchor")
@@ -101,11 +104,11 @@ def _(t):
 
 
 @query("booster", DOSES + """
-    , b AS (SELECT p, d3, date_diff('day',d2,d3) AS gap, coalesce(d3 < anchor AND date_diff('day',d2,d3) > 168, false) AS ok FROM c LEFT JOIN l USING (p))
-    SELECT p, ok::int AS boosted, strftime(CASE WHEN ok THEN d3 END,'%Y-%m-%d') AS booster_date, CASE WHEN ok THEN gap END::int AS booster_gap FROM b""")
+    , b AS (SELECT p, d3, date_diff('day',d2,d3) AS gap, coalesce(d3 < anchor, false) AS ok, d2 + 14 + 168 < d3 AS late FROM c LEFT JOIN l USING (p))
+    SELECT p, ok::int AS boosted, strftime(CASE WHEN ok THEN d3 END,'%Y-%m-%d') AS booster_date, CASE WHEN ok THEN gap END::int AS booster_gap, (ok AND late)::int AS booster_late FROM b""")
 def _(t):
     r = C.boosters(_anchored(t), _ledger(t), ["p"], "anchor")
-    return r.select("p", "boosted", day("booster_date").alias("booster_date"), "booster_gap")
+    return r.select("p", "boosted", day("booster_date").alias("booster_date"), "booster_gap", "booster_late")
 
 
 @query("status_maintained", DOSES + "SELECT p FROM c WHERE EXISTS (SELECT 1 FROM d WHERE d.p=c.p AND d.d < anchor AND anchor < d.d + INTERVAL 6 MONTH)")
@@ -137,15 +140,16 @@ def _(t):
 
 
 @query("exposure_cohort", """
-    WITH g AS (SELECT o_custkey AS p, l_shipdate::date AS d, list(DISTINCT p_name) AS names, max(l_quantity>25)::int AS level, min(o_orderdate)::date AS i
+    WITH g AS (SELECT o_custkey AS p, l_shipdate::date AS d, list(DISTINCT p_name) AS names, max(l_quantity>25)::int AS level, min(o_orderdate)::date AS i, list(DISTINCT l_returnflag) AS acts
       FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN part ON p_partkey=l_partkey GROUP BY 1, 2),
-    h AS (SELECT * FROM g WHERE len(list_filter(names, lambda x: contains(x,'ring')))>0 AND len(list_filter(names, lambda x: x NOT IN ('small ring','red ring')))>0 AND d >= i AND level=1)
+    h AS (SELECT * FROM g WHERE len(list_filter(names, lambda x: NOT (contains(x,'ring') OR contains(x,'bolt'))))=0 AND len(list_filter(names, lambda x: x NOT IN ('small ring','red ring')))>0
+      AND len(list_filter(acts, lambda x: x NOT IN ('R')))>0 AND d >= i AND level=1)
     SELECT p, strftime(min(d),'%Y-%m-%d') AS first_day FROM h GROUP BY 1""")
 def _(t):
     pairs = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     daily = pairs.groupBy(F.col("o_custkey").alias("p"), F.to_date("l_shipdate").alias("d")).agg(
-        F.collect_set("p_name").alias("names"), F.max((F.col("l_quantity") > 25).cast("int")).alias("level"), F.to_date(F.min("o_orderdate")).alias("i"))
-    r = C.exposure(daily, ["p"], "d", "names", ["small ring", "red ring"], ["RING"], lo="i", level=("level", 1))
+        F.collect_set("p_name").alias("names"), F.collect_set("l_returnflag").alias("acts"), F.max((F.col("l_quantity") > 25).cast("int")).alias("level"), F.to_date(F.min("o_orderdate")).alias("i"))
+    r = C.exposure(daily, ["p"], "d", "names", ["small ring", "red ring"], ["RING", "BOLT"], lo="i", level=("level", 1), actions="acts", not_given=["R"])
     return r.select("p", day("d").alias("first_day"))
 
 

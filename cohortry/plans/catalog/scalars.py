@@ -210,7 +210,7 @@ def _(t):
     WITH d AS (SELECT o_orderkey, (o_totalprice/1000)::int AS days FROM orders)
     SELECT o_orderkey, CASE WHEN days<=90 THEN '1st trimester' WHEN days<=181 THEN '2nd trimester' ELSE '3rd trimester' END AS stage,
       CASE WHEN days<=91 THEN 'a' WHEN days<=189 THEN 'b' ELSE 'c' END AS stage_alt,
-      CASE WHEN days>=259 THEN 'term' WHEN days>=238 THEN 'late_preterm' WHEN days>=224 THEN 'moderate_preterm' WHEN days>=196 THEN 'very_preterm' ELSE 'extreme_preterm' END AS category FROM d""")
+      CASE WHEN days>=259 THEN 'term' WHEN days>=238 THEN 'late_preterm' WHEN days>=224 THEN 'moderate_preterm' WHEN days>=196 THEN 'very_preterm' ELSE 'extremely_preterm' END AS category FROM d""")
 def _(t):
     days = F.round(F.col("o_totalprice") / 1000).cast("int")
     return t.orders.select("o_orderkey", C.stage(days).alias("stage"), C.stage(days, (91, 189), ("a", "b", "c")).alias("stage_alt"), C.gestation_category(days).alias("category"))

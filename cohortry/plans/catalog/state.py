@@ -64,18 +64,19 @@ def _(t):
 
 @query("daily_severity", f"""
     WITH d AS (SELECT user_id, ts::date AS d, max({SCORE}) AS nominal, min(event_id) AS dev_id FROM events WHERE event_type<>'purchase' GROUP BY 1, 2),
-    m AS (SELECT user_id, ts::date AS d, count(*) AS pressor, min(event_id) AS med_id FROM events WHERE event_type='purchase' GROUP BY 1, 2),
+    m AS (SELECT user_id, ts::date AS d, sum(CASE WHEN value>150 THEN 1.5 ELSE 0.0 END) AS pressor, max(CASE WHEN value>400 THEN '0' ELSE '' END) AS pump, min(event_id) AS med_id FROM events WHERE event_type='purchase' GROUP BY 1, 2),
     x AS (SELECT user_id, ts::date AS d, CASE WHEN max(value) > 480 THEN 'Expired' ELSE 'Home' END AS disp FROM events WHERE value>300 GROUP BY 1, 2),
     s AS (SELECT user_id, d FROM d UNION SELECT user_id, d FROM m UNION SELECT user_id, d FROM x)
-    SELECT user_id, strftime(d,'%Y-%m-%d') AS d, coalesce(dev_id, med_id) AS enc_id, CASE WHEN disp='Expired' THEN 8 WHEN nominal=6 AND pressor>0 THEN 7 ELSE nominal END AS score
+    SELECT user_id, strftime(d,'%Y-%m-%d') AS d, coalesce(dev_id, med_id) AS enc_id, CASE WHEN disp='Expired' THEN 8 WHEN nominal=6 AND (pressor>0 OR pump<>'') THEN 7 ELSE nominal END AS score
     FROM s LEFT JOIN d USING (user_id,d) LEFT JOIN m USING (user_id,d) LEFT JOIN x USING (user_id,d)""")
 def _(t):
     e = _devices(t).withColumn("d", F.to_date("ts"))
     by = ["user_id", "d"]
     devices = e.where("event_type <> 'purchase'").groupBy(*by).agg(F.max("nominal").alias("nominal"), F.min("event_id").alias("dev_id"))
-    meds = e.where("event_type = 'purchase'").groupBy(*by).agg(F.count(F.lit(1)).alias("pressor"), F.min("event_id").alias("med_id"))
+    meds = e.where("event_type = 'purchase'").groupBy(*by).agg(
+        F.sum(F.when(F.col("value") > 150, 1.5).otherwise(0.0)).alias("pressor"), F.max(F.when(F.col("value") > 400, "0").otherwise("")).alias("pump"), F.min("event_id").alias("med_id"))
     outs = e.where("value > 300").groupBy(*by).agg(F.when(F.max("value") > 480, "Expired").otherwise("Home").alias("disp"))
-    r = S.daily_state([devices, meds, outs], by, "nominal", ["pressor"], "disp", {"enc_id": ["dev_id", "med_id"]})
+    r = S.daily_state([devices, meds, outs], by, "nominal", ["pressor", "pump"], "disp", {"enc_id": ["dev_id", "med_id"]})
     return r.select("user_id", day("d").alias("d"), "enc_id", "score")
 
 
@@ -113,20 +114,20 @@ def _(t):
 
 
 @query("device_level", """
-    WITH x AS (SELECT o_custkey, greatest(CASE WHEN contains(p_name,'ring') THEN 1 ELSE 0 END, CASE WHEN contains(p_name,'bolt') THEN 2 ELSE 0 END, CASE WHEN contains(p_name,'small') THEN 4 ELSE 0 END) AS lv, l_quantity=50 AS b
-      FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN part ON p_partkey=l_partkey WHERE l_returnflag='R')
-    SELECT o_custkey, CASE WHEN bool_or(b) THEN greatest(max(lv),3) ELSE max(lv) END AS level FROM x GROUP BY 1""")
+    WITH x AS (SELECT l_orderkey, greatest(CASE WHEN contains(p_name,'ring') THEN 1 ELSE 0 END, CASE WHEN contains(p_name,'bolt') THEN 2 ELSE 0 END, CASE WHEN contains(p_name,'small') THEN 4 ELSE 0 END) AS lv, l_quantity>40 AS b
+      FROM lineitem JOIN part ON p_partkey=l_partkey)
+    SELECT l_orderkey, CASE WHEN bool_or(b) AND max(lv)=2 THEN 3 ELSE max(lv) END AS level FROM x GROUP BY 1""")
 def _(t):
-    rows = t.lineitem.where("l_returnflag = 'R'").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    return S.level_max(rows, ["o_custkey"], "p_name", {"ring": 1, "bolt": 2, "small": 4}, " ", bump=(F.col("l_quantity") == 50, 3))
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return S.level_max(rows, ["l_orderkey"], "p_name", {"ring": 1, "bolt": 2, "small": 4}, " ", bump=(F.col("l_quantity") > 40, 2, 3))
 
 
 @query("worst_encounter", """
-    WITH lv AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 3 ELSE 2 END AS lv FROM orders WHERE o_orderpriority='1-URGENT'),
+    WITH lv AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 3 ELSE 2 END AS lv FROM orders),
     w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY lv DESC, o_totalprice DESC, o_orderkey) AS rn FROM lv) WHERE rn=1), m AS (SELECT o_custkey, max(lv) AS m, count(*) AS n FROM lv GROUP BY 1)
     SELECT c_custkey, o_orderkey, coalesce(m,0) AS lv_max, coalesce(n,0) AS n_records FROM customer LEFT JOIN w ON w.o_custkey=c_custkey LEFT JOIN m ON m.o_custkey=c_custkey""")
 def _(t):
-    o = t.orders.where("o_orderpriority = '1-URGENT'").withColumn("lv", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 3).otherwise(2))
+    o = t.orders.withColumn("lv", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 3).otherwise(2))
     o = o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "lv", "o_totalprice").withColumn("rank", F.col("lv"))
     r = S.worst_record(t.customer.select("c_custkey"), o, ["c_custkey"], [("rank", False), ("o_totalprice", False), ("o_orderkey", True)], ["lv"])
     return r.select("c_custkey", "o_orderkey", "lv_max", "n_records")

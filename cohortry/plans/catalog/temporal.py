@@ -86,9 +86,9 @@ def _(t):
 
 @query("clipped_days", "WITH " + SPANS + """
     SELECT c.p, strftime(i,'%Y-%m-%d') AS i, sum(date_diff('day',greatest(b,i),e)+1)::bigint AS days, strftime(min(greatest(b,i)),'%Y-%m-%d') AS first_start, strftime(max(e),'%Y-%m-%d') AS last_stop
-    FROM (SELECT DISTINCT p,i FROM c) c JOIN v ON v.p=c.p AND e>=i AND b<i+120 GROUP BY 1, 2""")
+    FROM (SELECT DISTINCT p,i,i+CASE WHEN p%3=0 THEN -5 ELSE 120 END AS until FROM c) c JOIN v ON v.p=c.p AND e>=i AND b<until GROUP BY 1, 2""")
 def _(t):
-    c = cohort(t).withColumn("until", F.date_add("i", 120))
+    c = cohort(t).withColumn("until", F.date_add("i", F.when(F.col("p") % 3 == 0, -5).otherwise(120)))
     r = T.clipped_days(c, _spans(t), ["p"], "i", "until")
     return r.select("p", day("i").alias("i"), "days", day("first_start").alias("first_start"), day("last_stop").alias("last_stop"))
 

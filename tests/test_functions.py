@@ -54,7 +54,7 @@ def test_results_and_stages(frame):
     assert one(frame, [" Not Detected. ", "Detcted", "see  Comment", "?", None], "string", C.result_short) == ["negative", "positive", "see report or comment", "unknown", "unknown"]
     assert one(frame, [["positive", "negative"], ["negative", None], [], None], "array<string>", C.result_category) == [">= 1 positive", ">= 1 negative (no positive)", "inconclusive or unknown", "inconclusive or unknown"]
     assert one(frame, [90, 91, 181, 182, None], "int", C.stage) == ["1st trimester", "2nd trimester", "2nd trimester", "3rd trimester", None]
-    assert one(frame, [259, 258, 238, 237, 224, 223, 196, 195, None], "int", C.gestation_category) == ["term", "late_preterm", "late_preterm", "moderate_preterm", "moderate_preterm", "very_preterm", "very_preterm", "extreme_preterm", None]
+    assert one(frame, [259, 258, 238, 237, 224, 223, 196, 195, None], "int", C.gestation_category) == ["term", "late_preterm", "late_preterm", "moderate_preterm", "moderate_preterm", "very_preterm", "very_preterm", "extremely_preterm", None]
 
 
 def test_scores_and_encodings(frame):

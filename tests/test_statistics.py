@@ -179,7 +179,9 @@ def test_rules_levels_and_worst_records(frame, rows):
     rules = frame([("a", "q", 1, 2), ("a", None, 5, 1)], "item string, detail string, priority int, class int")
     assert rows(S.rule_class(df, rules, "i", "f")) == [("a", "q", 2), ("a", None, 1), ("z", "q", 0)]
     dev = frame([("p", "mask; cannula", False), ("p", "room air", True), ("q", "odd", None)], "k string, d string, v boolean")
-    assert rows(S.level_max(dev, ["k"], "d", {"cannula": 1, "mask": 2}, ";", (F.col("v"), 3))) == [("p", 3), ("q", 0)]
+    assert rows(S.level_max(dev, ["k"], "d", {"cannula": 1, "mask": 2}, ";", (F.col("v"), 2, 3))) == [("p", 3), ("q", 0)]
+    low = frame([("p", "cannula", True), ("q", "mask", False), ("q", None, True), ("r", "none", True)], "k string, d string, v boolean")
+    assert rows(S.level_max(low, ["k"], "d", {"cannula": 1, "mask": 2}, ";", (F.col("v"), 2, 3))) == [("p", 1), ("q", 2), ("r", 0)]
     assert [r[0] for r in frame([("Ventilator",), ("Bubble CPAP",), ("NC",), ("Room Air",), ("?",), (None,)], "c string").select(S.device_score(F.col("c"))).collect()] == [6, 5, 4, 3, None, None]
 
 

@@ -60,6 +60,8 @@ def test_stays_overlap_and_clipping(cohort, frame, rows):
     assert rows(r.select("k", "start_offset", "end_offset")) == [(1, -20, 5), (1, 13, 20)]
     c = cohort.withColumn("until", F.date_add("i", 15))
     assert rows(T.clipped_days(c, stays, ["p"], "i", "until").select("p", "i", "days")) == [("a", D(100), 6 + 8 + 2)]
+    late = cohort.withColumn("until", F.date_sub("i", 3))
+    assert rows(T.clipped_days(late, stays, ["p"], "i", "until").select("p", "i", "days")) == [("a", D(100), 6)]
 
 
 def test_onset_and_stays_from_events(frame, rows):
@@ -87,14 +89,19 @@ def test_dose_series_boosters_and_upkeep(frame, rows):
     assert rows(C.breakthrough(people, series, ["p"], "i").select("p")) == [("a",), ("b",)]
     assert rows(C.not_yet(people, book, ["p"], "i").select("p")) == [("d",)]
     assert rows(C.boosters(people, book, ["p"], "i").select("p", "boosted", "booster_gap")) == [("a", 0, None), ("b", 1, 169), ("c", 0, None), ("d", 0, None)]
-    assert rows(C.boosters(people, book, ["p"], "i", gap_days=169).select("boosted")) == [(0,)] * 4
+    assert rows(C.boosters(people, book, ["p"], "i", gap_days=154, delay=14).select("p", "boosted", "booster_late")) == [("a", 0, 0), ("b", 1, 1), ("c", 0, 0), ("d", 0, 0)]
+    assert rows(C.boosters(people, book, ["p"], "i").select("booster_late")) == [(0,)] * 4
+    mixed = W.ledger(frame([("a", D(0), "ONE"), ("a", D(30), "TWO"), ("b", D(0), "ONE"), ("b", D(30), "ONE")], "p string, d date, v string"), ["p"], "d", "v").withColumn("end", F.lit(D(20)))
+    rule = [("single", "ONE%", 1)]
+    assert rows(C.series_complete(mixed, rule).select("p", "product")) == [("a", None), ("b", "single")]
+    assert rows(C.series_complete(mixed, rule, until="end").select("p", "product")) == [("a", "single"), ("b", "single")]
     assert rows(C.maintained(people, book, ["p"], "i").select("p")) == [("a",), ("b",), ("c",)]
 
 
 def test_linked_episodes(frame, rows):
     e = frame([("p", "m1", None, None, D(280)), ("p", "c1", "m1", D(259), None), ("p", "c2", "m1", D(195), None), ("q", "m2", None, None, D(1))], "p string, id string, up string, d date, due date")
     r = C.parent_child_cohort(e, ["p"], "id", "up", "d", "due")
-    assert rows(r.select("episode_id", "child_episode_id", "gestational_days", "gestation_category", "start_date")) == [("m1", "c1", 259, "term", D(0)), ("m1", "c2", 195, "extreme_preterm", D(0))]
+    assert rows(r.select("episode_id", "child_episode_id", "gestational_days", "gestation_category", "start_date")) == [("m1", "c1", 259, "term", D(0)), ("m1", "c2", 195, "extremely_preterm", D(0))]
 
 
 def test_insurance_priority_uses_the_full_key(frame, rows):
