@@ -27,7 +27,8 @@ from .store import pick, saved
 BAND = 1.5
 BITS = 2048
 BLOCK = 512
-PAIR = "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>"
+PAIR = "a long, b long"
+LINK = "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +152,8 @@ def bitmaps(column: pa.Array) -> np.ndarray:
 
 
 def side(sets: DataFrame, p: str, *columns: str) -> DataFrame:
-    names = {"n": "n", "bitmap": "bits", "shingles": "h"}
-    return sets.select(F.col("class").alias(p), *[F.col(c).alias(p + names[c]) for c in columns])
+    names = {"n": "n", "bitmap": "bits", "shingles": "h", "class": "class"}
+    return sets.select(F.col("class.h1").alias(p), *[F.col(c).alias(p + names[c]) for c in columns])
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
@@ -169,7 +170,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFra
 
 
 def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, by the exact intersection of their sorted shingles."""
+    """Links between the classes of the pairs (a, b) that reach the similarity, by the exact intersection of their sorted shingles."""
 
     def exact(batches):
         for batch in batches:
@@ -178,27 +179,28 @@ def linked(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFram
                 x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(bottom * common >= top * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = batch.select(["aclass", "bclass"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=["a", "b"])
 
-    both = pairs.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return both.select("a", "b", "ah", "bh").mapInArrow(exact, PAIR)
+    both = pairs.join(side(sets, "a", "shingles", "class"), "a").join(side(sets, "b", "shingles", "class"), "b")
+    return both.select("aclass", "bclass", "ah", "bh").mapInArrow(exact, LINK)
 
 
 def block_pairs(open_rows: DataFrame, top: int, bottom: int) -> DataFrame:
-    """Pairs of different components in each tile that the bitmaps do not rule out, from (tile, class, component, members, n, bitmap).
+    """Pairs of different components in each tile that the bitmaps do not rule out, from (tile, c, component, members, n, bitmap).
 
     A member goes to as many block pairs as its tile has blocks of ``BLOCK`` members; a task compares two blocks at a time.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    rows = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "n", "bitmap")
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component", "n", "bitmap")
 
     def cross(key, table):
         _, i, j = (k.as_py() for k in key)
-        names = table["class"].combine_chunks()
+        names = table["c"].combine_chunks()
         own, size, bits = table["own"].to_numpy(), table["n"].to_numpy(), bitmaps(table["bitmap"])
-        codes = np.unique(np.stack([np.asarray(table["component"].combine_chunks().field(f)) for f in range(2)], 1), axis=0, return_inverse=True)[1].ravel()
+        codes = table["component"].to_numpy()
         left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
         for x in left:
             y = right[(codes[right] != codes[x]) & ((right > x) | (i != j))]
@@ -221,28 +223,30 @@ def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
     classes = described.where("class is not null")
     one = classes.groupBy("class").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("text_key"), F.first("tiles").alias("tiles"))
     one = saved(one, "classes")
-    tiles = one.select("class", F.explode("tiles").alias("tile"))
-    shared = saved(tiles.groupBy("tile").agg(F.min("class").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"), "tiles")
-    members = saved(tiles.join(shared, "tile").select("tile", "class", "lead", "members"), "members")
+    # In tiles a class goes by the first half of its hash: longs are combined before the shuffle and take half the room. Classes that
+    # share it are fetched together below, and links join whole classes.
+    tiles = one.select(F.col("class.h1").alias("c"), F.explode("tiles").alias("tile"))
+    shared = tiles.groupBy("tile").agg(F.min("c").alias("lead"), F.max("c").alias("other"), F.count(F.lit(1)).alias("members"))
+    members = saved(tiles.join(shared.where("lead <> other").select("tile", "lead", "members"), "tile"), "members")
 
-    wanted = members.select("class").distinct().join(one.select("class", "text_key"), "class")
+    wanted = members.select("c").distinct().join(one.select(F.col("class.h1").alias("c"), "class", "text_key"), "c")
     wanted = wanted.select("class", F.col("text_key.t1").alias("t1"), F.col("text_key.t2").alias("t2"))
     texts = rows.select("t1", "t2", "text").join(wanted, ["t1", "t2"])
     # equal texts give equal sets: one row of each is enough, and min() keeps it without gathering copies
     sets = saved(sets_of(texts, width).groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles")), "sets")
 
-    pairs = members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
+    pairs = members.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
     links = saved(linked(saved(bounded(pairs, sets, top, bottom), "possible"), sets, top, bottom), "links")
     labels = components(links)
 
-    placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = members.join(labels.select(F.col("node.h1").alias("c"), F.col("component.h1").alias("component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
     # tiles of equal membership are one; those within one component need no more
-    groups = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("set"), F.count(F.lit(1)).alias("members"))
-    undecided = groups.where("lo <> hi").groupBy("set", "members").agg(F.min("tile").alias("tile"))
-    open_rows = placed.drop("members").join(undecided.select("tile", "members"), "tile").join(sets.select("class", "n", "bitmap"), "class")
-    more = block_pairs(open_rows.select("tile", "class", "component", "members", "n", "bitmap"), top, bottom)
+    groups = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("set"), F.first("members").alias("members"))
+    undecided = groups.where("lo <> hi").groupBy("set", "members").agg(F.min("tile").alias("tile")).select("tile")
+    open_rows = placed.join(undecided, "tile").join(sets.select(F.col("class.h1").alias("c"), "n", "bitmap"), "c")
+    more = block_pairs(open_rows.select("tile", "c", "component", "members", "n", "bitmap"), top, bottom)
     more = saved(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
-    links = saved(links.union(linked(more.join(links, ["a", "b"], "left_anti"), sets, top, bottom)), "links")
+    links = saved(links.union(linked(more.join(links.select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")), ["a", "b"], "left_anti"), sets, top, bottom)), "links")
     labels = components(links)
 
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
