@@ -46,15 +46,17 @@ def stride(size: int) -> int:
 class Words:
     """Hashes of the words of a run of texts, their shingles and window fingerprints."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, longest: int = 1 << 16):
         data, offsets = text_bytes(texts)
         data = LOWER[data]
         starts, ends, self.before = word_spans(data, offsets, NOT_WORD)
         self.words = Rolling(data).of(starts, ends)
         self.bytes = ends - starts
         bits = np.unpackbits(self.words.view(np.uint8).reshape(-1, 8), axis=1) if len(starts) else np.zeros((0, 64), np.uint8)
-        self.votes = np.zeros((len(starts) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=self.votes[1:])
+        # 16 bits may wrap; differences over windows of fewer than 2**16 words are exact all the same
+        kind = np.uint16 if longest < 1 << 16 else np.uint32
+        self.votes = np.zeros((len(starts) + 1, 64), kind)
+        np.cumsum(bits, axis=0, dtype=kind, out=self.votes[1:])
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and bytes of the shingle that starts at each word, across text borders too."""
@@ -72,7 +74,7 @@ class Words:
         text = np.repeat(np.arange(len(counts)), counts)
         first = self.before[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
         ones = self.votes[first + size] - self.votes[first]
-        prints = np.packbits(ones * 2 > size, axis=1).view(np.uint64).ravel() if len(first) else np.zeros(0, np.uint64)
+        prints = np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel() if len(first) else np.zeros(0, np.uint64)
         return text, first, prints
 
 
@@ -102,7 +104,8 @@ class Index:
             for b in range(4):
                 block = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                tables.append((order, np.searchsorted(block[order], np.arange((1 << 16) + 1))))
+                cuts = np.searchsorted(block[order], np.arange((1 << 16) + 1))
+                tables.append((order, cuts, cuts[1:] > cuts[:-1]))
             self.classes[size] = (text, offset, prints, tables)
 
     def hits(self, words: Words):
@@ -110,12 +113,13 @@ class Index:
         found = []
         for size, (item, offset, prints, tables) in self.classes.items():
             text, first, own = words.windows(size, stride(size))
-            for b, (order, cuts) in enumerate(tables):
-                block = ((own >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            blocks = own.astype("<u8").view("<u2").reshape(-1, 4)
+            for b, (order, cuts, used) in enumerate(tables):
+                some = np.flatnonzero(used[blocks[:, b]])
+                block = blocks[some, b].astype(np.int64)
                 counts = cuts[block + 1] - cuts[block]
-                some = np.flatnonzero(counts)
-                window = np.repeat(some, counts[some])
-                entry = order[ranges(cuts[block[some]], counts[some])]
+                window = np.repeat(some, counts)
+                entry = order[ranges(cuts[block], counts)]
                 near = np.bitwise_count(own[window] ^ prints[entry]) <= RADIUS
                 window, entry = window[near], entry[near]
                 found.append(np.stack([text[window], item[entry], first[window] - offset[entry]], 1))
@@ -123,7 +127,7 @@ class Index:
 
     def verified(self, texts: pa.Array):
         """Best place of each found item of each text: text, item, first word in the text, similarity, number of places."""
-        words = Words(texts)
+        words = Words(texts, max(self.classes, default=1))
         cache: dict[int, np.ndarray] = {}
         best: dict[tuple[int, int], list] = {}
         for text, item, start in self.hits(words).tolist():
