@@ -104,7 +104,7 @@ def ordered_list(df: DataFrame, by: list[str], value: str, order: str, chunk: in
     require_columns(df, [*by, value, order])
     rows = df.where(F.col(value).isNotNull()).groupBy(*by, order, value).agg(F.count(F.lit(1)).alias("__n"))
     per_key = rows.groupBy(*by, order).agg(F.sum("__n").alias("__m"))
-    starts = prefix_scan(per_key, by, order, {"__end": ("sum", "__m")}, draw_from=df)
+    starts = prefix_scan(per_key, by, order, {"__end": ("sum", "__m")})
     placed = join_same_keys(rows, starts, [*by, order])
     # Rows sharing one order value are placed by value inside that order value.
     placed = prefix_scan(placed, [*by, order], value, {"__upto": ("sum", "__n")})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalars import z_score
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import cell_of, prefix_scan
+from cohortry.operators.scan import prefix_scan
 from cohortry.session import checkpoint
 
 
@@ -43,33 +43,32 @@ def match_caliper(df: DataFrame, id: str, treat: str, score: str, caliper: float
     rows = df.where(F.col(score).isNotNull()).select(F.col(id).alias("__id"), F.col(treat).alias("__t"), F.col(score).cast("double").alias("s"))
     values = rows.groupBy("s").agg(F.min(F.when(F.col("__t") == 0, F.col("__id"))).alias("c"), F.max("__t").alias("__t"))
     values = values.withColumn("here", F.when(F.col("c").isNotNull(), F.struct("s", "c")))
-    below = prefix_scan(values, [], "s", {"below": ("max", "here")}, draw_from=rows)
-    both = prefix_scan(below, [], "s", {"above": ("min", "here")}, descending=True, draw_from=rows)
+    below = prefix_scan(values, [], "s", {"below": ("max", "here")})
+    both = prefix_scan(below, [], "s", {"above": ("min", "here")}, descending=True)
     sides = [F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["s"] - F.col("s")).alias("d"), F.col(x)["c"].alias("c"))) for x in ("below", "above")]
     best = both.where("__t = 1").select("s", F.least(*sides).alias("best")).where(F.col("best.d") <= caliper)
     treated = rows.where("__t = 1").select(F.col("__id").alias("treated"), "s")
     return treated.join(best, "s").select("treated", F.col("best.c").alias("control"), F.col("best.d").alias("distance"))
 
 
-BITS, STRIDE = 8, 4
+STRIDE = 4
 
 
-def _coded(points: DataFrame, axes: list[str]) -> DataFrame:
+def _coded(points: DataFrame, axes: list[str], bits: int) -> DataFrame:
     """Add ``__code``: the position of each point as interleaved bits, one bit of every axis after the other.
 
-    A prefix of the code names a box; a longer prefix a box inside it. Axes are cut at quantiles of a bounded random draw, which only
-    affects how evenly the boxes fill.
+    A prefix of the code names a box; a longer prefix a box inside it. The position on an axis is the share of points below, from a
+    running count over the axis, written in ``bits`` bits, so boxes halve the points however the values are distributed.
     """
-    size = 2**BITS
-    draw = points.select(*axes).orderBy(F.rand(11)).limit(size * 100).collect()
-    texts = []
-    for a in axes:
-        values = sorted(row[a] for row in draw)
-        cuts = sorted({values[len(values) * k // size] for k in range(1, size)})
-        place = F.floor(cell_of(F.col(a), cuts) * size / (len(cuts) + 1))
-        texts.append(F.lpad(F.bin(place), BITS, "0"))
-    coded = points.withColumns({f"__b{i}": text for i, text in enumerate(texts)})
-    code = F.concat(*[F.substring(f"__b{i}", bit, 1) for bit in range(1, BITS + 1) for i in range(len(axes))])
+    coded = points
+    for i, a in enumerate(axes):
+        counts = points.groupBy(a).agg(F.count(F.lit(1)).alias("__n"))
+        upto = prefix_scan(counts, [], a, {"__upto": ("sum", "__n")})
+        total = counts.agg(F.sum("__n").alias("__total"))
+        place = F.floor((F.col("__upto") - F.col("__n")) / F.lit(total.first()[0] or 1) * (1 << bits)).cast("long")
+        text = F.right(F.lpad(F.bin(place), bits, "0"), F.lit(bits))
+        coded = coded.join(upto.select(a, text.alias(f"__b{i}")), a)
+    code = F.concat(*[F.substring(f"__b{i}", bit, 1) for bit in range(1, bits + 1) for i in range(len(axes))])
     return coded.withColumn("__code", code).drop(*[f"__b{i}" for i in range(len(axes))])
 
 
@@ -98,7 +97,9 @@ def match_nearest(
     axes = [f"x{i}" for i in range(len(cols))]
     points = checkpoint(both.select(F.col(id).alias("__id"), "__t", *[F.col(c).cast("double").alias(a) for c, a in zip(cols, axes)]))
     vectors = points.groupBy(*axes).agg(F.min(F.when(F.col("__t") == 0, F.col("__id"))).alias("control"), F.max("__t").alias("__t"))
-    vectors = checkpoint(_coded(vectors, axes))
+    vectors = checkpoint(vectors)
+    bits = max(1, vectors.count().bit_length())
+    vectors = checkpoint(_coded(vectors, axes, bits))
     units, controls = vectors.where("__t = 1"), vectors.where("control IS NOT NULL")
 
     def gap(a):
@@ -110,17 +111,15 @@ def match_nearest(
         return far * far
 
     budget = pairs_per_row * vectors.count()
-    pairs, length, full = None, 0, BITS * len(axes)
+    length, full = 0, bits * len(axes)
+    # prefixes of length 0: one box on each side, of the same (empty) name
+    pairs = _boxes(units, axes, 0, "t").join(_boxes(controls, axes, 0, "c"), F.col("t_cell") == F.col("c_cell"))
     while length < full:
         before, length = length, min(length + STRIDE, full)
         t, c = _boxes(units, axes, length, "t"), _boxes(controls, axes, length, "c")
-        if pairs is None:
-            # The first boxes are few by construction: at most 2^STRIDE on each side.
-            met = t.withColumn("__k", F.lit(0)).join(c.withColumn("__k", F.lit(0)), "__k")
-        else:
-            t, c = [x.withColumn(f"{n}_up", F.substring(f"{n}_cell", 1, before)) for x, n in ((t, "t"), (c, "c"))]
-            up = pairs.select(F.col("t_cell").alias("t_up"), F.col("c_cell").alias("c_up"))
-            met = up.join(t, "t_up").join(c, "c_up")
+        t, c = [x.withColumn(f"{n}_up", F.substring(f"{n}_cell", 1, before)) for x, n in ((t, "t"), (c, "c"))]
+        up = pairs.select(F.col("t_cell").alias("t_up"), F.col("c_cell").alias("c_up"))
+        met = up.join(t, "t_up").join(c, "c_up")
         near = met.select("t_cell", "c_cell", "t_n", "c_n", sum((gap(a) for a in axes), F.lit(0.0)).alias("low"), sum((reach(a) for a in axes), F.lit(0.0)).alias("high"))
         # a box never has more candidates than survivors times 2^STRIDE; the margin covers rounding of the two sums
         near = near.withColumn("sure", F.min("high").over(Window.partitionBy("t_cell")))

@@ -144,14 +144,10 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def _raw_scores(df: DataFrame, score: str) -> DataFrame:
-    return df.select(F.col(score).cast("double").alias("s"))
-
-
 def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Distinct scores with own counts p, q, cumulative tp, fp at or above the score, and totals m, n."""
     counts = _score_counts(df, label, score)
-    run = prefix_scan(counts, [], "s", {"tp": ("sum", "p"), "fp": ("sum", "q")}, descending=True, draw_from=_raw_scores(df, score))
+    run = prefix_scan(counts, [], "s", {"tp": ("sum", "p"), "fp": ("sum", "q")}, descending=True)
     totals = counts.agg(F.sum("p").alias("m"), F.sum("q").alias("n"))
     return run.withColumns({x: totals.select(x).scalar() for x in ("m", "n")})
 
@@ -185,7 +181,7 @@ def placements(df: DataFrame, label: str, score: str, weight: str | None = None)
     counts = rows.groupBy("s").agg(
         F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"), F.sum(F.col("w") * F.col("y")).alias("pw"), F.sum(F.col("w") * (1 - F.col("y"))).alias("qw")
     )
-    run = prefix_scan(counts, [], "s", {"cp": ("sum", "pw"), "cq": ("sum", "qw")}, draw_from=rows)
+    run = prefix_scan(counts, [], "s", {"cp": ("sum", "pw"), "cq": ("sum", "qw")})
     totals = counts.agg(F.sum("pw").alias("wp"), F.sum("qw").alias("wq"), F.sum("p").alias("m"), F.sum("q").alias("n"))
     checked = totals.select("wp", "wq", F.when((F.col("m") > 0) & (F.col("n") > 0), F.col("m")).otherwise(F.raise_error(F.lit("both classes are needed"))).alias("m"), "n")
     run = run.withColumns({x: checked.select(x).scalar() for x in ("wp", "wq", "m", "n")})

@@ -24,7 +24,7 @@ def field_values(tables: dict[str, tuple[DataFrame, list]], instance: str | None
             by = list(dict.fromkeys([*pair, *([instance] if instance and instance in df.columns else [])]))
             require_columns(df, by)
             counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("value_count"))
-            numbered = rank_rows(counts, [], by, "row_id", draw_from=rows)
+            numbered = rank_rows(counts, [], by, "row_id")
             second = pair[1] if len(pair) > 1 else None
             out.append(numbered.select(
                 "row_id", F.lit(table).alias("table_name"), F.lit(pair[0]).alias("field_name"), F.col(pair[0]).cast("string").alias("field_value"),

@@ -1,8 +1,8 @@
 """Distributed running aggregates, ranks and exact quantiles.
 
-A running total over a whole table must not become one unpartitioned window. Here the order
-column is cut into cells of similar row count; each (group, cell) is scanned on its own and receives the
-totals of the cells before it. Work per task is bounded by the cell, also when one group holds most rows.
+A running total over a whole table must not become one unpartitioned window. Here the rows are range-partitioned on group and order;
+each (group, partition) is scanned on its own and receives the totals of the partitions before it. The engine draws the bounds from the
+frame that is scanned, and their number follows its size, so a task is bounded by a partition, also when one group holds most rows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CELLS = 512
-DRAWS_PER_CELL = 100
+from cohortry.session import checkpoint
 
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
@@ -30,29 +29,6 @@ def join_same_keys(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*keys.values())
 
 
-def cell_bounds(df: DataFrame, order: str, cells: int | None = None) -> list:
-    """Sorted cut points of ``order``, from a bounded random draw (at most 51,200 values reach the driver).
-
-    The cut points only decide which task handles a row. Every row is kept whatever they are.
-    """
-    if cells is None:
-        cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cells = max(1, min(cells, MAX_CELLS))
-    draws = df.select(order).where(F.col(order).isNotNull()).orderBy(F.rand(11)).limit(cells * DRAWS_PER_CELL)
-    values = sorted(row[0] for row in draws.collect())
-    if not values:
-        return []
-    step = len(values) / cells
-    return sorted({values[int(i * step)] for i in range(1, cells)})
-
-
-def cell_of(order: Column, bounds: list) -> Column:
-    """Cell number of a value: the count of cut points below it (nulls fall into the first cell)."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < order))
-
-
 def prefix_scan(
     df: DataFrame,
     by: list[str],
@@ -60,24 +36,22 @@ def prefix_scan(
     scans: dict[str, tuple[str, str]],
     descending: bool = False,
     cells: int | None = None,
-    draw_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running ``sum``/``max``/``min`` columns along ``order`` within ``by``.
 
-    ``scans`` maps an output name to ``(fn, column)``. ``order`` must be unique within ``by``; group equal
-    values first. ``draw_from`` may name a cheaper frame holding the same order column for the cut points.
+    ``scans`` maps an output name to ``(fn, column)``. ``order`` must be unique within ``by``; group equal values first.
+    The rows are range-partitioned on (by, order); a cell is one of these partitions (``cells`` of them, else as many as the
+    session and adaptive execution choose for the size). They are checkpointed, so every later step sees the same cells.
     """
     for fn, _ in scans.values():
         if fn not in _FN:
             raise ValueError(f"unsupported running aggregate: {fn}")
-    bounds = cell_bounds(df if draw_from is None else draw_from, order, cells)
-    placed = df.withColumn("__cell", cell_of(F.col(order), bounds))
+    ranged = df.repartitionByRange(*([cells] if cells else []), *[F.col(c).asc_nulls_first() for c in [*by, order]])
+    placed = checkpoint(ranged.withColumn("__cell", F.spark_partition_id()))
     keys = [*by, "__cell"]
     sort = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     inside = Window.partitionBy(*keys).orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
     scanned = placed.select("*", *[_FN[fn](c).over(inside).alias(name) for name, (fn, c) in scans.items()])
-    if not bounds:
-        return scanned.drop("__cell")
 
     # At most one row per (group, cell); the carry of a cell is the total of the cells before it.
     totals = placed.groupBy(*keys).agg(*[_FN[fn](c).alias(f"__t_{name}") for name, (fn, c) in scans.items()])
@@ -102,7 +76,7 @@ def numbered_rows(df: DataFrame, by: list[str], order: str, name: str) -> DataFr
     return prefix_scan(counted, by, order, {name: ("sum", "__one")}).drop("__one")
 
 
-def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str, draw_from: DataFrame | None = None) -> DataFrame:
+def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` from 1 within ``by`` along several columns that together are unique; nulls first.
 
     Each column in turn adds the count of rows below within the columns before it, so neither a tie nor a group
@@ -112,51 +86,25 @@ def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str, draw_fr
     for i, c in enumerate(order):
         keys = [*by, *order[:i]]
         per = df.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__n"))
-        below = prefix_scan(per, keys, c, {"__end": ("sum", "__n")}, draw_from=draw_from)
+        below = prefix_scan(per, keys, c, {"__end": ("sum", "__n")})
         out = join_same_keys(out, below.select(*keys, c, (F.col("__end") - F.col("__n")).alias(f"__below_{i}")), [*keys, c])
     rank = reduce(lambda a, b: a + b, [F.col(f"__below_{i}") for i in range(len(order))]) + 1
     return out.select(*df.columns, rank.alias(name))
 
 
-SMALL_GROUP = 100_000
-
-
-def exact_quantiles(
-    df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float], small_group: int = SMALL_GROUP,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of several columns per group, in long form (by…, column, <probs>…).
 
-    Groups of up to ``small_group`` rows use the built-in aggregate, whose buffer holds the group's distinct values. Larger groups
-    are counted by value and ranked with ``prefix_scan``, so no task ever holds one. Nulls are ignored; ``probs`` maps names to probabilities.
+    Values are counted and ranked with ``prefix_scan``, whatever the size of a group, so no task ever holds one. Nulls are ignored;
+    ``probs`` maps names to probabilities.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
-    large = sizes.where(F.col("__size") > small_group).drop("__size")
-    if large.isEmpty():
-        return _small_quantiles(df, by, cols, probs)
-    if not by:
-        return _ranked_quantiles(df, by, cols, probs)
-    small, hot = join_same_keys(df, large, by, "left_anti"), join_same_keys(df, large, by, "left_semi")
-    return _small_quantiles(small, by, cols, probs).unionByName(_ranked_quantiles(hot, by, cols, probs))
-
-
-def _small_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
-    levels = [F.lit(float(p)) for p in probs.values()]
-    found = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), F.array(*levels)).alias(f"__q{i}") for i, c in enumerate(cols)])
-    rows = [
-        F.struct(F.lit(c).alias("column"), *[F.get(F.col(f"__q{i}"), F.lit(j)).alias(n) for j, n in enumerate(probs)]) for i, c in enumerate(cols)
-    ]
-    first = next(iter(probs))
-    return found.select(*by, F.inline(F.array(*rows))).where(F.col(first).isNotNull())
-
-
-def _ranked_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
     long = df.select(
         *by,
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])),
     ).where(F.col("value").isNotNull())
     keys = [*by, "column"]
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = prefix_scan(counts, keys, "value", {"__hi": ("sum", "__n")}, draw_from=long)
+    ranked = prefix_scan(counts, keys, "value", {"__hi": ("sum", "__n")})
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     ranked = join_same_keys(ranked, total, keys)
 

@@ -150,7 +150,7 @@ def mann_whitney(df: DataFrame, arm: str, value: str, first, second) -> DataFram
     """
     rows = df.where(F.col(value).isNotNull() & F.col(arm).isin(first, second)).select(F.col(value).cast("double").alias("v"), F.col(arm).alias("__arm"))
     counts = rows.groupBy("v").agg(F.count(F.when(F.col("__arm") == first, 1)).alias("n1"), F.count(F.when(F.col("__arm") == second, 1)).alias("n2"))
-    ranked = prefix_scan(counts, [], "v", {"upto": ("sum", "n2")}, draw_from=rows)
+    ranked = prefix_scan(counts, [], "v", {"upto": ("sum", "n2")})
     t = F.col("n1") + F.col("n2")
     s = ranked.agg(
         F.sum("n1").alias("n1"), F.sum("n2").alias("n2"),

@@ -49,10 +49,8 @@ def test_null_keys_and_null_order_are_kept(frame, rows):
     assert rows(S.prefix_scan(df, ["k"], "v", {"s": ("sum", "n")}, cells=4)) == rows(frame([(None, None, 1, 1), (None, 2, 1, 2), ("a", 1, 5, 5)], "k string, v int, n int, s int"))
 
 
-@pytest.mark.parametrize("small", [1, 500, 10**6])
-def test_quantiles_agree_on_every_route(data, small):
-    """small=1 ranks every group, 500 only the hot one, 10**6 none."""
-    got = {r.k: (r.q1, r.q2) for r in S.exact_quantiles(data, ["k"], ["v"], {"q1": 0.5, "q2": 0.9}, small).collect()}
+def test_quantiles(data):
+    got = {r.k: (r.q1, r.q2) for r in S.exact_quantiles(data, ["k"], ["v"], {"q1": 0.5, "q2": 0.9}).collect()}
     groups = {}
     for k, v, _ in hot():
         groups.setdefault(k, []).append(v)
@@ -64,10 +62,9 @@ def test_quantiles_agree_on_every_route(data, small):
         assert got[k][1] == pytest.approx(high)
 
 
-@pytest.mark.parametrize("small", [1, 10**6])
-def test_global_quantile_ignores_nulls(frame, small):
+def test_global_quantile_ignores_nulls(frame):
     df = frame([(1.0,), (None,), (4.0,), (2.0,)], "v double")
-    assert S.exact_quantiles(df, [], ["v"], {"m": 0.5}, small).collect()[0].m == 2.0
+    assert S.exact_quantiles(df, [], ["v"], {"m": 0.5}).collect()[0].m == 2.0
 
 
 def test_rank_rows_equals_row_number(data):
@@ -91,6 +88,30 @@ def test_ordered_list_splits_runs_of_equal_rows(frame):
 
 
 def test_result_does_not_depend_on_partitioning(data, rows):
-    a = S.exact_quantiles(data.repartition(1), ["k"], ["v"], {"m": 0.3}, 1)
-    b = S.exact_quantiles(data.repartition(7, "v"), ["k"], ["v"], {"m": 0.3}, 1)
+    a = S.exact_quantiles(data.repartition(1), ["k"], ["v"], {"m": 0.3})
+    b = S.exact_quantiles(data.repartition(7, "v"), ["k"], ["v"], {"m": 0.3})
     assert rows(a) == rows(b)
+
+
+def test_scan_spreads_the_rest_beside_a_heavy_value_and_keeps_nothing_on_the_driver(spark):
+    df = spark.range(200_000, numPartitions=200).select(F.when(F.col("id") % 1000 == 0, F.col("id")).otherwise(-1).alias("v"))
+    counts = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    got = S.prefix_scan(counts, [], "v", {"upto": ("sum", "n")}, cells=16)
+    assert got.agg(F.max("upto")).first()[0] == 200_000
+    ranged = counts.repartitionByRange(16, "v").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranged) >= 12 and max(r["count"] for r in ranged) <= 40
+
+
+def test_near_linear_matching(spark):
+    """Comparisons per row hardly grow with the rows."""
+    from cohortry.operators import matching as M
+
+    for n, cols in ((400, ["a"]), (400, ["a", "b", "c"])):
+        df = spark.range(n).select("id", *[F.rand(i + 1).alias(c) for i, c in enumerate(cols)], (F.col("id") % 2).alias("t"))
+        rows = {r["id"]: r for r in df.collect()}
+        pairs = M.match_nearest(df.where("t = 1"), df.where("t = 0"), "id", cols, scale=False, pairs_per_row=4).collect()
+        for p in pairs:
+            dist = lambda x, y: sum((rows[x][c] - rows[y][c]) ** 2 for c in cols) ** 0.5
+            best = min((dist(p["treated"], i), i) for i in rows if rows[i]["t"] == 0)
+            assert p["control"] == best[1] and abs(p["distance"] - best[0]) < 1e-9
+        assert len(pairs) == n // 2
