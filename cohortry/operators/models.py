@@ -9,12 +9,12 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.probability import Z95, log10_normal_two_sided
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import prefix_scan, rank_rows
+from cohortry.operators.scan import exact_quantiles, prefix_scan, rank_rows
 from cohortry.operators.timewin import group_max, latest
 from cohortry.session import checkpoint
 
@@ -82,41 +82,52 @@ def estimator(kind: str, label: str, **options):
 def oof_predict(df: DataFrame, id: str, label: str, features: list[str], kind: str = "logistic", k: int = 5, seed: int = 457, balance: bool = True, models: list | None = None, **options) -> DataFrame:
     """Out-of-fold scores (id, label, score): each row is predicted by the model that did not see its fold.
 
-    ``balance`` undersamples the majority class of every training set (trees) or weights the classes (logistic).
-    Fitted models are appended to ``models`` if a list is given.
+    ``balance`` undersamples the majority class of every training set. Missing features get the median of the training folds (0 if a
+    feature is missing throughout); rows without a label are predicted but never learnt from. Fitted models are appended to ``models``.
     """
     require_columns(df, [id, label, *features])
-    data = df.select(id, F.col(label).cast("double").alias(label), *[F.col(f).cast("double").alias(f) for f in features]).na.drop()
-    data = checkpoint(VectorAssembler(inputCols=features, outputCol="__x").transform(data.withColumn("__fold", fold(F.col(id), k, seed))))
-    parts = []
+    data = df.select(id, F.col(label).cast("double").alias(label), *[F.col(f).cast("double").alias(f) for f in features])
+    data = checkpoint(data.withColumn("__fold", fold(F.col(id), k, seed)))
+    assembler, parts = VectorAssembler(inputCols=features, outputCol="__x"), []
     for i in range(k):
-        train = data.where(F.col("__fold") != i)
-        if kind == "logistic":
-            n = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()} if balance else {}
-            total = sum(n.values())
-            weight = F.when(F.col(label) == 1, total / (2.0 * n[1.0])).otherwise(total / (2.0 * n[0.0])) if len(n) == 2 else F.lit(1.0)
-            train = train.withColumn("__w", weight)
-        elif balance:
+        train = data.where((F.col("__fold") != i) & F.col(label).isNotNull())
+        medians = {r["column"]: r["m"] for r in exact_quantiles(train, [], features, {"m": 0.5}).collect()}  # one row per feature
+        filled = assembler.transform(data.na.fill({f: medians.get(f, 0.0) for f in features}))
+        train = filled.where((F.col("__fold") != i) & F.col(label).isNotNull())
+        if balance:
             train = undersample(train, label, id, seed + i)
+        if kind == "logistic":
+            train = train.withColumn("__w", F.lit(1.0))
         model = estimator(kind, label, **options).fit(train)
         if models is not None:
             models.append(model)
         score = vector_to_array("probability")[1] if kind == "logistic" else F.col("prediction")
-        parts.append(model.transform(data.where(F.col("__fold") == i)).select(id, label, score.alias("score")))
+        parts.append(model.transform(filled.where(F.col("__fold") == i)).select(id, label, score.alias("score")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def undersample(df: DataFrame, label: str, id: str, seed: int, replacement: bool = False) -> DataFrame:
     """As many rows of every class as the smallest one has, chosen by seeded hash order; ``replacement`` draws rows with repetition.
 
-    Positions within a class come from a distributed scan, so a large class is not ordered in one task.
+    Without repetition a histogram of the hash tells in which of 65,536 bins a class reaches its number; only that bin is ordered.
+    With it, positions within a class come from a distributed scan, so a large class is not ordered in one task.
     """
     hashed = df.select(label, id, F.xxhash64(F.col(id), F.lit(seed)).alias("__h"))
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     smallest = min(sizes.values())
-    ranked = rank_rows(hashed, [label], ["__h", id], "__pos").drop("__h")
     if not replacement:
-        return df.join(ranked.where(F.col("__pos") <= smallest).select(label, id), [label, id], "left_semi")
+        binned = hashed.withColumn("__bin", F.shiftright("__h", 48))
+        upto = Window.partitionBy(label).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = binned.groupBy(label, "__bin").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", F.sum("__n").over(upto))
+        border = bins.where((F.col("__upto") >= smallest) & (F.col("__upto") - F.col("__n") < smallest))
+        border = border.select(label, F.col("__bin").alias("__border"), (smallest - F.col("__upto") + F.col("__n")).alias("__need"))
+        placed = binned.join(border, label)
+        last = Window.partitionBy(label).orderBy("__h", id)
+        chosen = placed.where("__bin < __border").select(label, id).union(
+            placed.where("__bin = __border").withColumn("__pos", F.row_number().over(last)).where("__pos <= __need").select(label, id)
+        )
+        return df.join(chosen, [label, id], "left_semi")
+    ranked = rank_rows(hashed, [label], ["__h", id], "__pos").drop("__h")
     classes = F.array(*[F.struct(F.lit(v).alias(label), F.lit(n).alias("__n")) for v, n in sizes.items()])
     draws = df.sparkSession.range(smallest).select(F.col("id").alias("__draw"), F.inline(classes))
     unit = F.pmod(F.xxhash64("__draw", F.lit(seed), F.col(label)), F.lit(2**53)) / F.lit(float(2**53))

@@ -115,13 +115,15 @@ def day_offset_pivot(df: DataFrame, by: list[str], ts: str, ref: str, item: str,
 
 
 def ledger(df: DataFrame, by: list[str], date: str, label: str) -> DataFrame:
-    """First, last and all dated entries per key: first/last date and label, ``entries`` = array<(date, label)>.
+    """First, last and all dated entries per key: first/last date and label, ``entries`` = array<(date, label, labels)>.
 
-    Entries are distinct calendar days (label: the smallest of the day), which bounds a key's array by the days
-    observed, however many records the key has.
+    Entries are distinct calendar days, which bounds a key's array by the days observed, however many records the key has.
+    ``labels`` holds all distinct labels of the day, ``label`` is the smallest of them.
     """
-    daily = df.where(F.col(date).isNotNull()).groupBy(*by, F.to_date(date).alias("date")).agg(F.min(label).alias("label"))
-    entry = F.struct("date", "label")
+    daily = df.where(F.col(date).isNotNull()).groupBy(*by, F.to_date(date).alias("date")).agg(
+        F.min(label).alias("label"), F.sort_array(F.collect_set(label)).alias("labels")
+    )
+    entry = F.struct("date", "label", "labels")
     return daily.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
         *by,
         F.col("entries")[0]["date"].alias("first_date"),

@@ -76,12 +76,12 @@ def _(t):
 
 
 @query("ledger_entries", """
-    WITH d AS (SELECT user_id, ts::date AS d, min(event_type) AS k FROM events GROUP BY 1, 2)
+    WITH d AS (SELECT user_id, ts::date AS d, min(event_type) AS k, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS ks FROM events GROUP BY 1, 2)
     SELECT user_id, strftime(min(d),'%Y-%m-%d') AS first_day, min_by(k,d) AS first_kind, strftime(max(d),'%Y-%m-%d') AS last_day, max_by(k,d) AS last_kind,
-      string_agg(strftime(d,'%Y-%m-%d')||'='||k, ',' ORDER BY d) AS entries FROM d GROUP BY 1""")
+      string_agg(strftime(d,'%Y-%m-%d')||'='||ks, ',' ORDER BY d) AS entries FROM d GROUP BY 1""")
 def _(t):
     r = W.ledger(t.events, ["user_id"], "ts", "event_type")
-    text = F.transform("entries", lambda e: F.concat(day(e["date"]), F.lit("="), e["label"]))
+    text = F.transform("entries", lambda e: F.concat(day(e["date"]), F.lit("="), F.array_join(e["labels"], "+")))
     return r.select(
         "user_id", day("first_date").alias("first_day"), F.col("first_label").alias("first_kind"), day("last_date").alias("last_day"),
         F.col("last_label").alias("last_kind"), F.array_join(text, ",").alias("entries"),
