@@ -209,7 +209,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
                             out["sequence_id"].append(-1 - ((level << 56) | (int(shard) << 16) | k) if keep else None)
                             out["offset"].append(at)
                             at += int(sizes[i])
-                yield pd.DataFrame(out).astype({"sequence_id": "Int64"})
+                # not by way of floats, which cannot hold such numbers
+                yield pd.DataFrame(out | {"sequence_id": pd.array(out["sequence_id"], "Int64")})
 
         score = F.aggregate(F.array_distinct("places"), F.lit(0), lambda s, x: s + 1)
         chosen = islands.select("shard", "island", "keys", "sizes", F.col("population")[0].alias("places")).withColumn("bins", score)
