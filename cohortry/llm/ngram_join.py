@@ -3,7 +3,8 @@
 Texts are reduced to their distinct shingle sets first; equal sets are one class. Two sets of Jaccard similarity t or more differ in at most
 D = floor((1 - t) / (1 + t) * (a + b)) shingles. Sets are placed in size bands; a band also takes the sets just below it that may still
 reach similarity with its members. Within a band the hash space is cut in D + 1 tiles for the band's largest D: two similar sets agree in
-at least one whole tile, so equal tile hashes find every pair. Candidates of a tile are first the pairs of each set with the tile's
+at least one whole tile, so equal tile hashes find every pair. For wide shingles and low similarities tiles can be single shingles, of
+which similar sets share one among their first in hash order. Candidates of a tile are first the pairs of each set with the tile's
 smallest set; the sets that are not joined by those meet all others of another component in square blocks. Before the exact intersection
 of sorted arrays, hashed bitmaps bound the overlap from above: each bit that only one set has is a shingle the other lacks.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import ASCII_SPACE, LOWER, Rolling, mix, slices, text_bytes, word_spans
+from .bytewords import ASCII_SPACE, LOWER, Rolling, mix, ranges, slices, text_bytes, word_spans
 from .graph import components
 from .store import pick, saved
 
@@ -94,6 +95,13 @@ def tile_hashes(hashes: np.ndarray, offsets: np.ndarray, top: int, bottom: int)
     return value[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
 
 
+def prefix_hashes(hashes: np.ndarray, offsets: np.ndarray, top: int, bottom: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles of single shingles: the n - ceil(t * n) + 1 first ones in hash order, of which two similar sets share one."""
+    sizes = np.diff(offsets)
+    counts = np.where(sizes > 0, sizes - (-(-sizes * top // bottom)) + 1, 0)
+    return mix(hashes[ranges(offsets[:-1], counts)] + np.uint64(9)), np.append(0, np.cumsum(counts))
+
+
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -102,7 +110,7 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), longs(np.ascontiguousarray(values)))
 
 
-def describe(rows: DataFrame, width: int, top: int, bottom: int) -> DataFrame:
+def describe(rows: DataFrame, width: int, top: int, bottom: int, by_prefix: bool) -> DataFrame:
     """id, text key, set size, class (hash of the set; null for an empty one), tile hashes."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -110,7 +118,7 @@ def describe(rows: DataFrame, width: int, top: int, bottom: int) -> DataFrame:
         for batch in slices(batches, "text"):
             hashes, offsets = shingle_sets(batch.column("text"), width)
             sizes = np.diff(offsets)
-            tiles, cuts = tile_hashes(hashes, offsets, top, bottom)
+            tiles, cuts = (prefix_hashes if by_prefix else tile_hashes)(hashes, offsets, top, bottom)
             parts = []
             for salt in (3, 5):
                 sums = np.append(np.uint64(0), np.cumsum(mix(hashes * np.uint64(salt) + np.uint64(salt))))
@@ -212,14 +220,15 @@ def block_pairs(open_rows: DataFrame, top: int, bottom: int) -> DataFrame:
     return rows.groupBy("tile", "i", "j").applyInArrow(cross, PAIR)
 
 
-def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3, top: int = 90, bottom: int = 100) -> DataFrame:
+def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3, top: int = 90, bottom: int = 100, by_prefix: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links (verified links of its set with other sets that were needed).
 
+    ``by_prefix`` takes single shingles as tiles: fewer rows where the similarity is low and shingles are wide, and so rarely common.
     Also the text key (t1, t2) and the component's own key, which tell texts of equal ids apart.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", text).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
-    described = saved(describe(rows, width, top, bottom), "described")
+    described = saved(describe(rows, width, top, bottom, by_prefix), "described")
     classes = described.where("class is not null")
     one = classes.groupBy("class").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("text_key"), F.first("tiles").alias("tiles"))
     one = saved(one, "classes")
@@ -259,7 +268,7 @@ def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
     """The rows, with all their columns, of one document of each component: the one with the smallest id. Documents without words stay."""
-    joined = saved(join_documents(docs, id_col, text_col, width, top, bottom), "joined")
+    joined = saved(join_documents(docs, id_col, text_col, width, top, bottom, by_prefix=True), "joined")
     key = F.struct("id", "t1", "t2")
     chosen = joined.where("component is not null").groupBy("component").agg(F.min(key).alias("__key")).select("__key")
     chosen = chosen.union(joined.where("component is null").select(key.alias("__key")).distinct())

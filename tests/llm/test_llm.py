@@ -255,8 +255,8 @@ def brute_join(rows, width, top):
     return collections.Counter((i, len(sets[k]), rows[find(k)][0] if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "top"), [(3, 90), (5, 80)])
-def test_jaccard_join(spark, width, top):
+@pytest.mark.parametrize(("width", "top", "by_prefix"), [(3, 90, False), (5, 80, False), (5, 80, True)])
+def test_jaccard_join(spark, width, top, by_prefix):
     rng = random.Random(width)
     words = ["w%d" % k for k in range(400)]
     rows = []
@@ -267,7 +267,7 @@ def test_jaccard_join(spark, width, top):
             for _ in range(max(1, len(text) // 60)):
                 text[rng.randrange(len(text))] = rng.choice(words)
     rows += [(900, None), (901, ""), (902, "ONE two"), (903, "one  TWO"), (904, "one"), (3, rows[3][1])]
-    got = ngram_join.join_documents(spark.createDataFrame(rows, "d long, body string"), "d", "body", width, top)
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "d long, body string"), "d", "body", width, top, by_prefix=by_prefix)
     assert collections.Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_join(rows, width, top)
 
 
