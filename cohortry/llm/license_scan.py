@@ -1,15 +1,17 @@
 """Licence notices by ordered signature rules, with DataFrame functions only.
 
-A keyword prefilter decides which texts, and within them which lines, are looked at; a rule is tried on a line only if the line holds the
-rule's own keyword. Rules are ordered: a smaller number wins. A match inside another match of a stronger rule, or inside a longer one of
-an equal rule, is suppressed; what remains gives the labels. All matches of a line count, not only the first.
+A prefilter made of the rules' own words decides which texts are looked at; a rule is tried on a text only if the text holds the rule's
+keyword and the words of its form. Rules see the whole text, so a notice that is wrapped over several lines counts. Rules are ordered: a
+smaller number wins. A match inside another match of a stronger rule, or inside a longer one of an equal rule, is suppressed; what remains
+gives the labels. All matches of a text count, not only the first; each has the line that it starts in, and its start and end in
+characters of the text, all from 0.
 
 The base phrases are counted apart, on words (runs of digits, letters A-Z in either case, and all characters beyond ASCII), wherever
 they stand, also across lines. ``score`` is the confidence of the strongest remaining rule, at least ``PHRASE_SCORE`` where a base phrase
 stands, else 0.
 
 A null text is empty: no words, no labels, score 0. Rows with equal or null ids are scanned each by itself, whole texts always.
-The number of rule tries of a line is bounded by the rule list; suppression compares the matches of one line with each other.
+The number of rule tries of a text is bounded by the rule list; suppression compares matches that overlap with each other.
 """
 
 from __future__ import annotations
@@ -23,27 +25,25 @@ from .store import pick
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts and lines without any of these are passed over.
-GATE = r"(?i)licen[cs]|copyright|copyleft|spdx|all rights reserved|public domain|redistribut|creativecommons|gnu\.org|opensource\.org|warranty"
 PHRASE_SCORE = 0.6
 
 #: label, keyword (lower case) and pattern of the licence's names; the patterns are joined with every form of FORMS.
 FAMILIES = (
     ("agpl", "affero", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[cs]e"),
-    ("agpl", "agpl", r"agpl(?:\s*-?\s*v?3(?:\.0)?)?(?:-only|-or-later|\+)?"),
+    ("agpl", "agpl", r"agpl(?:\s*(?:-\s*)?v?3(?:\.0)?)?(?:-only|-or-later|\+)?"),
     ("lgpl", "lesser", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e"),
     ("lgpl", "library general", r"(?:gnu\s+)?library\s+general\s+public\s+licen[cs]e"),
-    ("lgpl", "lgpl", r"lgpl(?:\s*-?\s*v?[23](?:\.[01])?)?(?:-only|-or-later|\+)?"),
+    ("lgpl", "lgpl", r"lgpl(?:\s*(?:-\s*)?v?[23](?:\.[01])?)?(?:-only|-or-later|\+)?"),
     ("gpl", "general public", r"(?:gnu\s+)?general\s+public\s+licen[cs]e"),
-    ("gpl", "gpl", r"\bgpl(?:\s*-?\s*v?[123](?:\.0)?)?(?:-only|-or-later|\+)?"),
+    ("gpl", "gpl", r"\bgpl(?:\s*(?:-\s*)?v?[123](?:\.0)?)?(?:-only|-or-later|\+)?"),
     ("apache", "apache", r"apache(?:\s+software)?(?:\s+licen[cs]e)?(?:-2\.0)?"),
     ("mit", "mit", r"\bmit(?:\s*/\s*x11)?(?:\s+licen[cs]e)?"),
     ("mit", "expat", r"expat(?:\s+licen[cs]e)?"),
-    ("bsd-2", "bsd", r"(?:2-clause|simplified|two[- ]clause)\s+bsd|bsd[- ](?:2|two)[- ]clause"),
-    ("bsd-3", "bsd", r"(?:3-clause|new|revised|modified|three[- ]clause)\s+bsd|bsd[- ](?:3|three)[- ]clause"),
-    ("bsd", "bsd", r"\bbsd(?:[- ]style)?(?:\s+licen[cs]e)?"),
+    ("bsd-2", "bsd", r"(?:2-clause|simplified|two[-\s]clause)\s+bsd|bsd[-\s](?:2|two)[-\s]clause"),
+    ("bsd-3", "bsd", r"(?:3-clause|new|revised|modified|three[-\s]clause)\s+bsd|bsd[-\s](?:3|three)[-\s]clause"),
+    ("bsd", "bsd", r"\bbsd(?:[-\s]style)?(?:\s+licen[cs]e)?"),
     ("mpl", "mozilla", r"mozilla\s+public\s+licen[cs]e"),
-    ("mpl", "mpl", r"\bmpl(?:\s*-?\s*v?[12]\.[01])?"),
+    ("mpl", "mpl", r"\bmpl(?:\s*(?:-\s*)?v?[12]\.[01])?"),
     ("epl", "eclipse", r"eclipse\s+public\s+licen[cs]e"),
     ("cddl", "development and distribution", r"common\s+development\s+and\s+distribution\s+licen[cs]e"),
     ("isc", "isc", r"\bisc(?:\s+licen[cs]e)?"),
@@ -56,26 +56,26 @@ FAMILIES = (
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("python", "python", r"python\s+software\s+foundation\s+licen[cs]e"),
     ("postgresql", "postgresql", r"postgresql\s+licen[cs]e"),
-    ("cc-by-nc-sa", "cc", r"cc[- ]by[- ]nc[- ]sa"),
-    ("cc-by-nc-nd", "cc", r"cc[- ]by[- ]nc[- ]nd"),
-    ("cc-by-nc", "cc", r"cc[- ]by[- ]nc\b(?![- ](?:sa|nd))"),
-    ("cc-by-sa", "cc", r"cc[- ]by[- ]sa"),
-    ("cc-by-nd", "cc", r"cc[- ]by[- ]nd"),
-    ("cc-by", "cc", r"cc[- ]by\b(?![- ](?:nc|sa|nd))"),
-    ("cc0", "cc0", r"cc0(?:[- ]1\.0)?"),
+    ("cc-by-nc-sa", "cc", r"cc[-\s]by[-\s]nc[-\s]sa"),
+    ("cc-by-nc-nd", "cc", r"cc[-\s]by[-\s]nc[-\s]nd"),
+    ("cc-by-nc", "cc", r"cc[-\s]by[-\s]nc\b(?![-\s](?:sa|nd))"),
+    ("cc-by-sa", "cc", r"cc[-\s]by[-\s]sa"),
+    ("cc-by-nd", "cc", r"cc[-\s]by[-\s]nd"),
+    ("cc-by", "cc", r"cc[-\s]by\b(?![-\s](?:nc|sa|nd))"),
+    ("cc0", "cc0", r"cc0(?:[-\s]1\.0)?"),
     ("cc", "creative commons", r"creative\s+commons(?:\s+attribution)?"),
 )
-VERSION = r"(?:\s*,?\s*(?:version|v\.?)?\s*[0-9](?:\.[0-9])*)?"
-#: priority, confidence and frame of each form; {} is the family's pattern.
+VERSION = r"(?:\s*(?:,\s*)?(?:(?:version|v\.?)\s*)?[0-9](?:\.[0-9])*)?"
+#: priority, confidence and frame of each form; {} is the family's pattern. Last, what every match of the frame holds.
 FORMS = (
-    (1, 1.0, r"spdx-license-identifier:\s*(?:{})" + VERSION),
-    (2, 0.98, r"(?:dual[- ]|re)?licen[cs]ed\s+under\s+(?:the\s+terms\s+of\s+)?(?:an?\s+|the\s+)?(?:{})" + VERSION),
-    (2, 0.97, r"(?:released|distributed|published|available|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:an?\s+|the\s+)?(?:{})" + VERSION),
-    (3, 0.95, r"(?:subject\s+to|under)\s+the\s+(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:{})" + VERSION),
-    (3, 0.93, r"licen[cs]e\s*[:=]\s*[\"']?(?:{})" + VERSION),
-    (4, 0.9, r"(?:the\s+)?(?:{})" + VERSION + r"\s+(?:applies|governs|as\s+published)"),
-    (5, 0.8, r"(?:{})" + VERSION + r"\s+licen[cs]e"),
-    (6, 0.7, r"(?:{})\s*,?\s*version\s*[0-9](?:\.[0-9])*"),
+    (1, 1.0, r"spdx-license-identifier:\s*(?:{})" + VERSION, r"spdx-license-identifier:"),
+    (2, 0.98, r"(?:dual[-\s]|re)?licen[cs]ed\s+under\s+(?:the\s+terms\s+of\s+)?(?:an?\s+|the\s+)?(?:{})" + VERSION, r"licen[cs]ed\s+under"),
+    (2, 0.97, r"(?:released|distributed|published|available|provided)\s+under\s+(?:the\s+terms\s+of\s+)?(?:an?\s+|the\s+)?(?:{})" + VERSION, r"(?:released|distributed|published|available|provided)\s+under"),
+    (3, 0.95, r"(?:subject\s+to|under)\s+the\s+(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:{})" + VERSION, r"(?:to|under)\s+the"),
+    (3, 0.93, r"licen[cs]e\s*[:=]\s*[\"']?(?:{})" + VERSION, r"licen[cs]e\s*[:=]"),
+    (4, 0.9, r"(?:the\s+)?(?:{})" + VERSION + r"\s+(?:applies|governs|as\s+published)", r"applies|governs|as\s+published"),
+    (5, 0.8, r"(?:{})" + VERSION + r"\s+licen[cs]e", r"licen[cs]e"),
+    (6, 0.7, r"(?:{})\s*(?:,\s*)?version\s*[0-9](?:\.[0-9])*", r"version\s*[0-9]"),
 )
 #: Rules outside the families: priority, confidence, label, keyword, pattern.
 SINGLE = (
@@ -94,42 +94,86 @@ SINGLE = (
 )
 
 
+#: Texts without any of these are passed over: what the forms hold, the single rules' keywords and what every base phrase holds.
+GATE = "(?i)" + "|".join([*dict.fromkeys(anchor for *_, anchor in FORMS), *dict.fromkeys(k.replace(".", r"\.").replace(" ", r"\s+") for _, _, _, k, _ in SINGLE), "license"])
+MATCHES = "array<struct<line:int,start:int,end:int,priority:int,confidence:double,label:string>>"
+
+
 def rules() -> list[tuple[int, float, str, str, str]]:
     """All signature rules in order: priority, confidence, label, keyword, pattern."""
-    made = [(p, c, label, keyword, frame.replace("{}", name)) for p, c, frame in FORMS for label, keyword, name in FAMILIES]
-    return sorted([*made, *SINGLE], key=lambda r: r[0])
+    return [r[:5] for r in _formed_rules()]
+
+
+def _formed_rules() -> list[tuple[int, float, str, str, str, int]]:
+    """The rules with the number of their form, which is that of no form for single rules."""
+    made = [(p, c, label, keyword, frame.replace("{}", name), k) for k, (p, c, frame, _) in enumerate(FORMS) for label, keyword, name in FAMILIES]
+    return sorted([*made, *((*r, len(FORMS)) for r in SINGLE)], key=lambda r: r[0])
 
 
 def _rule_array() -> Column:
-    parts = [F.struct(F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit("(?i)" + rx).alias("pattern")) for p, c, label, k, rx in rules()]
-    return F.array(*parts)
+    names = ("priority", "confidence", "label", "keyword", "pattern", "form")
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*r[:4], "(?i)" + r[4], r[5]), strict=True)]) for r in _formed_rules()])
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated only once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
 
+def _matches(text: Column, rule: Column) -> Column:
+    """All matches of a rule in a text."""
 
-def _matches(line: Column, number: Column, rule: Column) -> Column:
-    """All matches of a rule in a line, with their places in characters from 0."""
-    pieces, found = F.split(line, rule["pattern"]), F.regexp_extract_all(line, rule["pattern"], F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def spans(x: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,start:int,end:int>>").alias("spans"))
 
-    def step(state: Column, k: Column) -> Column:
-        start = state["at"] + F.char_length(pieces[k])
-        end = start + F.char_length(found[k])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+        def breaks(piece: Column) -> Column:
+            return F.char_length(piece) - F.char_length(F.replace(piece, F.lit("\n"), F.lit("")))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["spans"]
-    return F.transform(spans, lambda s: F.struct(number.alias("line"), s["start"].alias("start"), s["end"].alias("end"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["label"].alias("label")))
+        def step(state: Column, k: Column) -> Column:
+            piece, found = x["pieces"][k], x["found"][k]
+            start, line = state["at"] + F.char_length(piece), state["line"] + breaks(piece)
+            end = start + F.char_length(found)
+            span = F.struct(line.alias("line"), start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), (line + breaks(found)).alias("line"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), zero, step)["spans"]
 
-def _line_hits(line: Column, number: Column, all_rules: Column) -> Column:
-    low = F.lower(line)
-    tried = F.filter(all_rules, lambda r: F.contains(low, r["keyword"]) & F.rlike(line, r["pattern"]))
-    hits = F.flatten(F.transform(tried, lambda r: _matches(line, number, r)))
+    cut = F.struct(F.split(text, rule["pattern"]).alias("pieces"), F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("found"))
+    return F.transform(_once(cut, spans), lambda s: F.struct(s["line"], s["start"], s["end"], rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["label"].alias("label")))
+
+
+def _uncovered(hits: Column) -> Column:
+    """The hits that no other one suppresses. Hits are cut into runs that overlap first."""
 
     def covered(h: Column, o: Column) -> Column:
         around = (o["start"] <= h["start"]) & (o["end"] >= h["end"])
         longer = (o["end"] - o["start"]) > (h["end"] - h["start"])
         return around & ((o["priority"] < h["priority"]) | ((o["priority"] == h["priority"]) & longer))
 
-    return F.filter(hits, lambda h: ~F.exists(hits, lambda o: covered(h, o)))
+    def kept(run: Column) -> Column:
+        return F.filter(run, lambda h: ~F.exists(run, lambda o: covered(h, o)))
+
+    none = F.array().cast(MATCHES)
+    zero = F.struct(F.lit(0).alias("end"), none.alias("run"), none.alias("kept"))
+
+    def step(state: Column, h: Column) -> Column:
+        apart = h["start"] >= state["end"]
+        run = F.when(apart, F.array(h)).otherwise(F.concat(state["run"], F.array(h)))
+        done = F.when(apart, F.concat(state["kept"], kept(state["run"]))).otherwise(state["kept"])
+        return F.struct(F.greatest(state["end"], h["end"]).alias("end"), run.alias("run"), done.alias("kept"))
+
+    by_start = F.array_sort(hits, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(F.lit(0)))
+    return F.aggregate(by_start, zero, step, lambda state: F.concat(state["kept"], kept(state["run"])))
+
+
+def _text_hits(text: Column) -> Column:
+    all_rules, keywords = _rule_array(), F.array(*[F.lit(k) for k in dict.fromkeys(r[3] for r in rules())])
+    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    held = _once(low, lambda x: F.filter(keywords, lambda k: F.contains(x, k)))
+    forms = F.array(*[F.rlike(text, F.lit("(?i)" + anchor)) for *_, anchor in FORMS], F.lit(True))
+    words = F.struct(held.alias("keywords"), forms.alias("forms"))
+    tried = _once(words, lambda w: F.filter(all_rules, lambda r: w["forms"][r["form"]] & F.array_contains(w["keywords"], r["keyword"]) & F.rlike(text, r["pattern"])))
+    return _once(F.flatten(F.transform(tried, lambda r: _matches(text, r))), _uncovered)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,10 +184,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = F.concat(F.lit("0 "), F.ltrim(F.regexp_replace(F.concat("text", F.lit(" ")), BETWEEN, " ")))
     rows = rows.select("id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), "gated", F.when(F.col("gated"), words).alias("words"), F.when(F.col("gated"), F.col("text")).alias("text"))
     places = "(?i)(?<= )(?=(?:" + "|".join(p for p, _ in PHRASES) + ") )"
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda line, k: F.struct(line.alias("text"), k.alias("k"))), lambda x: F.rlike(x["text"], F.lit(GATE)))
-    all_rules = _rule_array()
-    hits = F.flatten(F.transform(lines, lambda x: _line_hits(x["text"], x["k"], all_rules)))
-    rows = rows.select("id", "n_words", "words", F.split("words", places).alias("parts"), F.when(F.col("gated"), hits).alias("matches"))
+    rows = rows.select("id", "n_words", "words", F.split("words", places).alias("parts"), F.when(F.col("gated"), _text_hits(F.col("text"))).alias("matches"))
 
     def blanks(part: Column) -> Column:
         return (F.char_length(part) - F.char_length(F.replace(part, F.lit(" "), F.lit("")))).cast("long")
@@ -152,7 +193,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n_base = F.when(F.col("words").isNull(), F.lit(0)).otherwise(n_base).cast("long")
     base = F.array_compact(F.array(*[F.when(F.rlike(F.col("words"), F.lit(f"(?i) {p} ")), F.lit(label)) for p, label in PHRASES]))
     base = F.coalesce(F.when(F.col("words").isNotNull(), F.array_sort(F.array_distinct(base))), F.array().cast("array<string>"))
-    found = F.coalesce("matches", F.array().cast("array<struct<line:int,start:int,end:int,priority:int,confidence:double,label:string>>"))
+    found = F.coalesce("matches", F.array().cast(MATCHES))
     rows = rows.select("id", "n_words", n_base.alias("n_base"), "parts", base.alias("base"), found.alias("matches"))
     best = F.aggregate("matches", F.lit(0.0), lambda s, m: F.greatest(s, m["confidence"]))
     has = F.col("n_base") > 0

@@ -331,6 +331,21 @@ def test_licence_rules(spark):
     assert not re.search("Python|Pandas|Arrow", license_scan.scan(df, "d", "body")._jdf.queryExecution().executedPlan().toString())
 
 
+def test_licence_rules_see_words_of_the_rules_and_wrapped_notices(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person": {"mit"}, "Permission to use, copy, modify, and/or distribute this software": {"isc"},
+        "released under the GPL v3": {"gpl"}, "distributed under the terms of the BSD 3-Clause": {"bsd-3"}, "Released under CC BY-SA 4.0": {"cc-by-sa"},
+        "published under the GNU Lesser General Public\nLicense": {"lgpl"}, "x\nPermission is\n  hereby granted, free\nof charge": {"mit"}, "submit it under the rocks": set(),
+        "under the\n\tMIT\nlicense\n\nAll rights\nreserved": {"mit", "proprietary"}, "BSD 3-Clause" + "\n" * 3000 + "version 2 applies": {"bsd-3"},
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "d long, body string")
+    got = {r["id"]: r["matches"] for r in license_scan.scan(df, "d", "body").collect()}
+    for k, (text, labels) in enumerate(texts.items()):
+        assert {m["label"] for m in got[k]} == labels, (text, got[k])
+        for m in got[k]:
+            assert m["line"] == text[: m["start"]].count("\n") and m["end"] <= len(text)
+
+
 # 7 toxicity
 
 
