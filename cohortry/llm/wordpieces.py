@@ -2,7 +2,8 @@
 
 The vocabulary's normalizer and word pattern never look across a blank or line feed, so a text is the sequence of its chunks between them.
 Known chunks are looked up. Unknown plain ones (letters of Latin scripts, digits, ASCII signs) go to a rank-based merger with the same
-ranks, in which a zero byte marks the word end; all others go to the tokenizer library itself. Both give the library's ids.
+ranks, in which a zero byte marks the word end; all others, and those that hold an added token of the vocabulary, go to the tokenizer
+library itself. Both give the library's ids.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ class WordPieces:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        described = json.load(open(path, encoding="utf-8"))
+        model, added = described["model"], [t["content"] for t in described.get("added_tokens") or []]
+        # in either case: the library tells which ones count
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
+        self.spaced = [t for t in added if " " in t or "\n" in t]
         letters = byte_letters()
 
         def as_bytes(piece: str) -> bytes:
@@ -64,8 +69,9 @@ class WordPieces:
         self.words = regex.compile(r"\n|" + SPLIT)
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
-        other = [c for c in chunks if not PLAIN.fullmatch(c)]
+        plain, other = [], []
+        for c in chunks:
+            (plain if PLAIN.fullmatch(c) and not self.added.search(c) else other).append(c)
         if plain:
             words = self.words.findall("\n".join(plain).lower())
             coded = self.merger.encode_ordinary("".join([w if w == "\n" else w + "\0" for w in words]))
@@ -82,6 +88,9 @@ class WordPieces:
                 self.known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, text: str) -> bytes:
+        if self.spaced and self.added.search(text):  # an added token may span chunks
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         chunks = text.replace("\n", " ").split(" ")
         known = self.known
         try:

@@ -416,6 +416,25 @@ def test_word_pieces_equal_the_library():
     assert [coder.encode(t) for t in texts] == want
 
 
+def test_word_pieces_keep_added_tokens(spark):
+    path = tokenizer_file("word_bpe_49k.json")
+    coder = wordpieces.load(path)
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "'s", " ", "\n", "É", "字", "<", "|>", "1"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(2000))]
+    want = [e.ids for e in coder.library.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [320, 49407, 321]
+    assert [list(struct.unpack(f"<{len(e) // 4}I", e)) for e in map(coder.encode, texts)] == want
+    rows = list(enumerate(texts[:50]))
+    out = packing.pack_documents(spark.createDataFrame(rows, "d long, body string"), path, "d", "body", 8).collect()
+    pieces = collections.Counter()
+    for i, _ in rows:
+        ids = [*want[i], 0]
+        for k, at in enumerate(range(0, len(ids), 8)):
+            pieces[i, k, at, len(ids[at : at + 8]), zlib.crc32(struct.pack(f"<{len(ids[at : at + 8])}I", *ids[at : at + 8]))] += 1
+    assert collections.Counter((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == pieces
+
+
 def check_packing(out, rows, capacity):
     coder = wordpieces.load(tokenizer_file("word_bpe_49k.json"))
     want = collections.Counter()
