@@ -2,10 +2,11 @@
 
 Patterns (their spans always stand): assignments to secret-like names, access-key ids, long hexadecimal strings.
 
-Novelty: every unbroken run of 16 to 512 token characters, a digit among them, close behind a sensitive word is a candidate. zstandard, primed with a dictionary
+Novelty: every unbroken run of 16 or more token characters close behind a sensitive word is a candidate. zstandard, primed with a dictionary
 of common identifiers and with the code around the candidate, compresses that code alone and with the candidate behind it; the difference
 is the candidate's marginal cost. Words, paths and identifiers, or strings that the text repeats, cost little; a secret costs nearly its
-own information. Candidates whose marginal bytes per character reach ``novelty`` are reported as kind ``novel``.
+own information. Candidates whose marginal bytes per character reach ``novelty`` are reported as kind ``novel``. Those of more than
+``WINDOW`` characters are measured in windows of equal length; one that reaches it is enough, and the whole run is reported.
 
 A null text is empty and has no spans; rows with equal or null ids are scanned each by itself. Long texts are scanned whole.
 """
@@ -32,7 +33,11 @@ SENSITIVE = re.compile(
 )
 #: Every sensitive word holds one of these.
 STEMS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization", "client", "signature", "webhook", "cookie", "session", "jwt", "salt", "pwd")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,511}[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: Start of a candidate, and all of it from there.
+START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+SHORTEST = 16
+WINDOW = 512
 #: Characters between a sensitive word's end and the start of its candidates.
 REACH = 48
 AROUND = 256
@@ -76,17 +81,22 @@ class Novelty:
         around = f"{after}\n{before}".encode(errors="replace")
         return (self.size(around + candidate.encode()) - self.size(around)) / len(candidate)
 
+    def novel(self, text: str, start: int, end: int, least: float) -> bool:
+        """Whether the run, or one of its windows of at most ``WINDOW`` characters, reaches the cost."""
+        n = -(-(end - start) // WINDOW)
+        cuts = [start + (end - start) * k // n for k in range(n + 1)]
+        return any(self.cost(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= least for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
     def spans(self, text: str, least: float) -> list[tuple[int, int, str]]:
         found, at, low = [], 0, text.lower()
         if not any(s in low for s in STEMS):
             return found
         for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(at, word.end()), min(len(text), word.end() + REACH + 513)):
-                if m.start() > word.end() + REACH:
-                    break
-                at = m.end()
-                if self.cost(text[max(0, m.start() - AROUND) : m.start()], m.group(), text[m.end() : m.end() + AROUND]) >= least:
-                    found.append((m.start(), m.end(), 3))
+            at = max(at, word.end())
+            while start := START.search(text, at, word.end() + REACH + SHORTEST):
+                begin, at = start.start(), RUN.match(text, start.start()).end()
+                if self.novel(text, begin, at, least):
+                    found.append((begin, at, 3))
         return found
 
 

@@ -167,6 +167,20 @@ def test_novelty_finds_random_strings_and_leaves_names():
     assert found == ["x8Kq2mZp0VbT7rLw9NcYhh"]
 
 
+def test_novelty_measures_letters_only_and_long_runs():
+    rng = random.Random(4)
+    letters, signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    word = "".join(rng.choice(letters) for _ in range(32))
+    long = "".join(rng.choice(signs) for _ in range(3000))
+    late = "q" * 2000 + long[:1000]
+    n = secret_scan.Novelty()
+    find = lambda text: [text[a:b] for a, b, _ in n.spans(text, secret_scan.NOVELTY)]
+    assert find(f"the credential {word} here") == [word]
+    assert find(f"private_key {long} end, bearer {late}.") == [long, late]
+    assert find(f"cookie {'authorization_header_' * 100} and jwt {'z' * 5000}") == []
+    assert find("password " + " " * 48 + long) == [] and find("password" + " " * 48 + long) == [long]
+
+
 # 3 decontamination
 
 
