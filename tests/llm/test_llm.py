@@ -120,6 +120,22 @@ def test_line_dedup_removes_nothing_else_and_nearly_all(spark):
     assert copies <= got  # exact copies never are
 
 
+def line_removals(spark, rows):
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "d long, body string"), "d", "body").collect()
+    return {(r["id"], k) for r in out for k in r["removed"]}
+
+
+def test_line_dedup_equals_brute_force_on_short_and_periodic_lines(spark):
+    rng = random.Random(12)
+    lines = ["ab" * 40, "ab" * 20, "=-" * 30, "=-" * 9, "| --- | --- | ---", "| --- | --- | --- | --- |"]
+    for n in range(9, 30):
+        for _ in range(6):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            lines += [line, line + "#", "#" + line, line[: n // 2] + "#" + line[n // 2 :]]
+    rows = list(enumerate(lines))
+    assert line_removals(spark, rows) == brute_lines(rows)
+
+
 def test_line_dedup_odd(odd, none):
     df, rows = odd
     out = line_dedup.dedup_lines(df, "doc_id", "text").collect()
