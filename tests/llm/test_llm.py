@@ -136,6 +136,19 @@ def test_line_dedup_equals_brute_force_on_short_and_periodic_lines(spark):
     assert line_removals(spark, rows) == brute_lines(rows)
 
 
+def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(120):  # all share much of their text, but only two of each kind are similar
+        own = word(50)
+        lines += ["https://www.example.org/articles/section/" + own, "https://www.example.org/articles/section/" + own[:-1] + "_"]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    assert line_removals(spark, rows) == brute_lines(rows)
+
+
 def test_line_dedup_odd(odd, none):
     df, rows = odd
     out = line_dedup.dedup_lines(df, "doc_id", "text").collect()
