@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import decontaminate, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from .store import importable, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,17 @@ def op10_suffix_dedup(table):
 def op1_line_dedup(table):
     """Lines that repeat or nearly repeat an earlier line, per document."""
     return line_dedup.dedup_lines(table("documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_exact_dedup(table):
+    """Equal texts: the row that stays, the size of its group and the digest, for every document."""
+    found = exact_dedup.duplicates(table("documents"), "doc_id", "text")
+    return found.withColumnsRenamed({"id": "doc_id", "digest": "text_sha256"})
+
+
+SQL["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: The engine's default limit.
+MOST_BUCKETS = 100_000
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +37,17 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """Like ``saved``, bucketed by a key: grouping by it and joining on it read the buckets as they are, without an exchange."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(df.rdd.getNumPartitions(), MOST_BUCKETS))
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    _WRITTEN.append((spark, path))
+    return spark.table(name)
+
+
 def clear(spark: SparkSession | None = None) -> None:
     """Delete the tables written by ``saved``; results that still read them must be finished."""
     while _WRITTEN:
