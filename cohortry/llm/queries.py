@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
+from . import alignment, decontaminate, exact_dedup, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from .store import importable, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op11_token_alignment(table):
+    """Groups and links between the byte-level and the piece tokens of every document, with corpus-wide pair counts."""
+    found = alignment.alignments(table("documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
