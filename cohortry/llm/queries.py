@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import configure
 
-from . import alignment, decontaminate, exact_dedup, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
+from . import alignment, collocations, decontaminate, exact_dedup, license_scan, line_dedup, neighbours, ngram_join, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from .store import importable, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,40 @@ def op11_token_alignment(table):
     """Groups and links between the byte-level and the piece tokens of every document, with corpus-wide pair counts."""
     found = alignment.alignments(table("documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), "doc_id", "text")
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_collocations(table):
+    """The 2000 best collocations of each language."""
+    return collocations.mine(table("documents"), "text", "lang")
+
+
+SQL["op13_collocations"] = """
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts
+), worded AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces
+), spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), totals AS (SELECT lang, count(*) AS n FROM spots GROUP BY lang
+), one AS (SELECT lang, w[i] AS w1, count(*)::HUGEINT AS f FROM spots GROUP BY ALL
+), two AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*)::HUGEINT AS f FROM spots WHERE i < len(w) GROUP BY ALL
+), three AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*)::HUGEINT AS f FROM spots WHERE i < len(w) - 1 GROUP BY ALL HAVING count(*) >= 10
+), scored2 AS (
+  SELECT b.lang, b.w1, b.w2, b.f AS a, x.f AS l, y.f AS r, 1000000 * b.f * b.f // (x.f * y.f) AS score
+  FROM two b JOIN one x ON x.lang = b.lang AND x.w1 = b.w1 JOIN one y ON y.lang = b.lang AND y.w1 = b.w2 WHERE b.f >= 10
+), cut3 AS (
+  SELECT c.lang, c.w1, c.w2, c.w3, c.f AS a, x.f AS l1, q.f AS r1, p.f AS l2, y.f AS r2,
+         1000000 * c.f * c.f // (x.f * q.f) AS s1, 1000000 * c.f * c.f // (p.f * y.f) AS s2
+  FROM three c JOIN one x ON x.lang = c.lang AND x.w1 = c.w1 JOIN one y ON y.lang = c.lang AND y.w1 = c.w3
+  JOIN two p ON p.lang = c.lang AND p.w1 = c.w1 AND p.w2 = c.w2 JOIN two q ON q.lang = c.lang AND q.w1 = c.w2 AND q.w2 = c.w3
+), held AS (
+  SELECT lang, w1, w2, max(f) AS longer FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+), found AS (
+  SELECT s.lang, s.w1 || ' ' || s.w2 AS phrase, a, l, r, score FROM scored2 s LEFT JOIN held h ON h.lang = s.lang AND h.w1 = s.w1 AND h.w2 = s.w2
+  WHERE h.longer IS NULL OR 100 * h.longer < 50 * a
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cut3
+), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM found)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+"""
