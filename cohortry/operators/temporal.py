@@ -1,6 +1,7 @@
 """Interval logic between a cohort with index dates and dated facts.
 
-Windows are inclusive calendar-day ranges. Before any join, facts are reduced to one row per key and day (and item),
+Windows are inclusive calendar-day ranges. Flags and counts come from running totals at both ends of a window (``asof``).
+Where the facts themselves are wanted, they are reduced to one row per key and day (and item) before the join,
 and cohort rows to their distinct windows; both are bounded by the calendar for any one key, and the join itself
 spreads a key over time cells (``range_join``). A person with a third of all records is therefore no hot spot.
 """
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.operators.asof import distinct_in_windows, window_flags
 from cohortry.operators.joins import range_join
 
 CELL_DAYS = 50
@@ -38,12 +40,11 @@ def flag_in_window(
 ) -> DataFrame:
     """1/0 per label: any fact of any source has the label set on a day in [lo, hi]."""
     sources = facts if isinstance(facts, list) else [facts]
-    flags = [F.max(F.coalesce(F.col(x).cast("int"), F.lit(0))).alias(prefix + x) for x in labels]
-    daily = reduce(DataFrame.union, [f.select(*keys, F.to_date(t).alias("__day"), *labels) for f in sources])
-    daily = daily.groupBy(*keys, "__day").agg(*flags)
-    windows = _windows(cohort, keys, lo, hi)
-    found = _in_window(windows, daily, keys).groupBy(*keys, "__lo", "__hi").agg(*[F.max(prefix + x).alias(prefix + x) for x in labels])
-    return _attach(windows, found, keys, {prefix + x: 0 for x in labels})
+    names = {f"__f{i}": prefix + x for i, x in enumerate(labels)}
+    flags = [F.max(F.coalesce(F.col(x).cast("int"), F.lit(0))).alias(n) for n, x in zip(names, labels, strict=True)]
+    marked = reduce(DataFrame.union, [f.select(*keys, F.to_date(t).alias("__day"), *labels) for f in sources])
+    some = reduce(lambda a, b: a | b, [F.coalesce(F.col(x).cast("int"), F.lit(0)) > 0 for x in labels])
+    return window_flags(cohort, marked.where(some).groupBy(*keys, "__day").agg(*flags), keys, lo, hi, names)
 
 
 def active_status(cohort: DataFrame, facts: DataFrame, keys: list[str], index: str, entry: str, days: int, name: str) -> DataFrame:
@@ -131,12 +132,11 @@ def onset(index: Column, admit: Column, lag: int = 5) -> Column:
     return F.when(admit < F.date_sub(index, lag), index).when(admit >= F.date_sub(index, lag), admit)
 
 
-def _window_items(cohort, facts, keys, t, lo, hi, item, extra=()):
-    """Distinct items per window, with the maximum of each extra 0/1 column."""
-    daily = facts.where(F.col(item).isNotNull()).groupBy(*keys, F.to_date(t).alias("__day"), item).agg(*[F.max(c).alias(c) for c in extra] or [F.lit(1).alias("__x")])
+def _window_items(cohort, facts, keys, t, lo, hi, item):
+    """Distinct items per window."""
+    daily = facts.where(F.col(item).isNotNull()).select(*keys, F.to_date(t).alias("__day"), item).distinct()
     windows = _windows(cohort, keys, lo, hi)
-    items = _in_window(windows, daily, keys).groupBy(*keys, "__lo", "__hi", item).agg(*[F.max(c).alias(c) for c in extra] or [F.lit(1).alias("__x")])
-    return windows, items
+    return windows, _in_window(windows, daily, keys).select(*keys, "__lo", "__hi", item).distinct()
 
 
 def window_item_counts(
@@ -145,10 +145,8 @@ def window_item_counts(
 ) -> DataFrame:
     """Distinct items in [lo, hi] per cohort row; with ``split=(column, values)`` also ``<name>_<value>``; 0 where none."""
     col, values = split or (None, [])
-    tags = {f"{name}_{v}": (F.col(col) == v).cast("int") for v in values}
-    windows, items = _window_items(cohort, facts.withColumns(tags) if tags else facts, keys, t, lo, hi, item, list(tags))
-    found = items.groupBy(*keys, "__lo", "__hi").agg(F.count(F.lit(1)).alias(name), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in tags])
-    return _attach(windows, found, keys, dict.fromkeys([name, *tags], 0))
+    series = {name: F.lit(True), **{f"{name}_{v}": F.col(col) == v for v in values}}
+    return distinct_in_windows(cohort, facts, keys, t, lo, hi, item, series)
 
 
 def window_set(cohort: DataFrame, facts: list[DataFrame], keys: list[str], t: str, lo: Column, hi: Column, item: str, name: str = "items") -> DataFrame:
