@@ -137,7 +137,8 @@ def to_number(c: Column, kind: str = "double") -> Column:
 def _with_scalars(df: DataFrame, stats: list[Column], build) -> DataFrame:
     """Add columns computed from a one-row aggregate of the same frame."""
     one = df.agg(*stats)
-    return df.withColumns(build({c: one.select(c).scalar() for c in one.columns}))
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumns(build({c: row.getField(c) for c in one.columns}))
 
 
 def min_max(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:

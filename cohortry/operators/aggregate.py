@@ -1,4 +1,4 @@
-"""Grouped aggregation: one hash aggregate per call, medians through distributed ranks."""
+"""Grouped aggregation: one hash aggregate per call, medians through bracketed ranks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.scan import exact_quantiles, join_same_keys, prefix_scan
+from cohortry.operators.quantiles import exact_quantiles
+from cohortry.operators.scan import join_same_keys, prefix_scan
 
 FUNCTIONS = (
     "avg", "mean", "sum", "stddev", "min", "max", "count", "median",
@@ -183,8 +184,9 @@ def describe(df: DataFrame, col: str, quantiles: dict[str, float] | None = None)
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("stddev"), F.min(col).alias("min"), F.max(col).alias("max")
     )
     cuts = exact_quantiles(df, [], [col], probs).drop("column")
+    cut = cuts.select(F.struct(*[F.col(p).alias(f"q{i}") for i, p in enumerate(probs)])).scalar()
     return moments.select(
-        "count", "mean", "stddev", "min", *[cuts.select(p).scalar().alias(p) for p in probs], "max"
+        "count", "mean", "stddev", "min", *[cut.getField(f"q{i}").alias(p) for i, p in enumerate(probs)], "max"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalars import min_max
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import exact_quantiles
+from cohortry.operators.quantiles import exact_quantiles
 
 
 def one_hot(df: DataFrame, col: str, levels: list | dict, drop: bool = True) -> DataFrame:
@@ -54,8 +54,8 @@ def missing_report(df: DataFrame, cols: list[str]) -> DataFrame:
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill nulls with the exact median of the column; a column without values stays null."""
     medians = exact_quantiles(df, [], cols, {"m": 0.5})
-    wide = medians.agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), wide.select(c).scalar()) for c in cols})
+    fill = medians.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fill.getField(f"m{i}")) for i, c in enumerate(cols)})
 
 
 def numeric_complete(df: DataFrame, cols: list[str], id_cols: list[str], name: str = "row_id") -> DataFrame:

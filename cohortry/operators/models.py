@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.probability import Z95, log10_normal_two_sided
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import exact_quantiles, prefix_scan, rank_rows
+from cohortry.operators.quantiles import exact_quantiles
+from cohortry.operators.scan import prefix_scan, rank_rows
 from cohortry.operators.timewin import group_max, latest
 from cohortry.session import checkpoint
 

@@ -1,4 +1,4 @@
-"""Distributed running aggregates, ranks and exact quantiles.
+"""Distributed running aggregates and ranks.
 
 A running total over a whole table must not become one unpartitioned window. Here the rows are range-partitioned on group and order;
 each (group, partition) is scanned on its own and receives the totals of the partitions before it. The engine draws the bounds from the
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.session import checkpoint
@@ -90,33 +90,3 @@ def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> Data
         out = join_same_keys(out, below.select(*keys, c, (F.col("__end") - F.col("__n")).alias(f"__below_{i}")), [*keys, c])
     rank = reduce(lambda a, b: a + b, [F.col(f"__below_{i}") for i in range(len(order))]) + 1
     return out.select(*df.columns, rank.alias(name))
-
-
-def exact_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of several columns per group, in long form (by…, column, <probs>…).
-
-    Values are counted and ranked with ``prefix_scan``, whatever the size of a group, so no task ever holds one. Nulls are ignored;
-    ``probs`` maps names to probabilities.
-    """
-    long = df.select(
-        *by,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])),
-    ).where(F.col("value").isNotNull())
-    keys = [*by, "column"]
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = prefix_scan(counts, keys, "value", {"__hi": ("sum", "__n")})
-    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = join_same_keys(ranked, total, keys)
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((position >= F.col("__hi") - F.col("__n")) & (position < F.col("__hi")), F.col("value")))
-
-    picks = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        picks += [at(F.floor(pos)).alias(f"__lo_{name}"), at(F.ceil(pos)).alias(f"__up_{name}"), F.max(pos - F.floor(pos)).alias(f"__w_{name}")]
-    found = ranked.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[(F.col(f"__lo_{n}") + (F.col(f"__up_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n) for n in probs],
-    )

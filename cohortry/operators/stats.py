@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.probability import Z95, chi_square_sf, ln_factorial, normal_two_sided
 from cohortry.operators.aggregate import require_columns
-from cohortry.operators.scan import exact_quantiles, join_same_keys, prefix_scan
+from cohortry.operators.quantiles import exact_quantiles
+from cohortry.operators.scan import join_same_keys, prefix_scan
 
 
 def interval(yes: Column, n: Column, method: str = "wilson") -> tuple[Column, Column]:

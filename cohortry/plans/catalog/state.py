@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import concepts as K
 from cohortry.operators import state as S
-from cohortry.operators.scan import exact_quantiles
+from cohortry.operators.quantiles import exact_quantiles
 from cohortry.plans.catalog.shared import day, rnd
 from cohortry.plans.registry import query
 from cohortry.sources.io import inline

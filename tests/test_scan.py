@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import aggregate as A
 from cohortry.operators import scan as S
+from cohortry.operators.quantiles import exact_quantiles
 
 
 def hot(n=3000, seed=5):
@@ -50,7 +51,7 @@ def test_null_keys_and_null_order_are_kept(frame, rows):
 
 
 def test_quantiles(data):
-    got = {r.k: (r.q1, r.q2) for r in S.exact_quantiles(data, ["k"], ["v"], {"q1": 0.5, "q2": 0.9}).collect()}
+    got = {r.k: (r.q1, r.q2) for r in exact_quantiles(data, ["k"], ["v"], {"q1": 0.5, "q2": 0.9}).collect()}
     groups = {}
     for k, v, _ in hot():
         groups.setdefault(k, []).append(v)
@@ -64,7 +65,7 @@ def test_quantiles(data):
 
 def test_global_quantile_ignores_nulls(frame):
     df = frame([(1.0,), (None,), (4.0,), (2.0,)], "v double")
-    assert S.exact_quantiles(df, [], ["v"], {"m": 0.5}).collect()[0].m == 2.0
+    assert exact_quantiles(df, [], ["v"], {"m": 0.5}).collect()[0].m == 2.0
 
 
 def test_rank_rows_equals_row_number(data):
@@ -88,8 +89,8 @@ def test_ordered_list_splits_runs_of_equal_rows(frame):
 
 
 def test_result_does_not_depend_on_partitioning(data, rows):
-    a = S.exact_quantiles(data.repartition(1), ["k"], ["v"], {"m": 0.3})
-    b = S.exact_quantiles(data.repartition(7, "v"), ["k"], ["v"], {"m": 0.3})
+    a = exact_quantiles(data.repartition(1), ["k"], ["v"], {"m": 0.3})
+    b = exact_quantiles(data.repartition(7, "v"), ["k"], ["v"], {"m": 0.3})
     assert rows(a) == rows(b)
 
 
