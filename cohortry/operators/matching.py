@@ -6,30 +6,49 @@ multivariate neighbours from a grid whose cell width follows the data.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalars import z_score
 from cohortry.operators.aggregate import require_columns
+from cohortry.operators.glm import Logit, fit_logits, score_sums
 from cohortry.operators.scan import prefix_scan
 from cohortry.session import checkpoint
 
 
 def propensity(df: DataFrame, treat: str, covariates: list[str], reg: float = 0.0, max_iter: int = 100) -> DataFrame:
     """Add ``score`` (probability of treatment) and ``logit`` from a class-balanced logistic model."""
+    model = propensity_models(df, treat, {"": covariates}, reg, max_iter)[""]
+    return df.withColumns({"score": model.probability(), "logit": model.logit()})
+
+
+def propensity_models(df: DataFrame, treat: str, sets: dict[str, list[str]], reg: float = 0.0, max_iter: int = 100) -> dict[str, Logit]:
+    """A class-balanced logistic model for each named set of covariates, all fitted in the same passes over the rows."""
+    covariates = list(dict.fromkeys(c for cs in sets.values() for c in cs))
     require_columns(df, [treat, *covariates])
+    rows = checkpoint(df.select(treat, *covariates))
+    weight = _arm_weight(treat, _arm_sizes(rows, treat))
+    models = fit_logits(rows, treat, covariates, [weight] * len(sets), masks=list(sets.values()), ridge=reg, max_iter=max_iter)
+    return dict(zip(sets, models, strict=True))
+
+
+def _arm_sizes(df: DataFrame, treat: str) -> dict[int, int]:
     sizes = {r[treat]: r["n"] for r in df.where(F.col(treat).isin(0, 1)).groupBy(treat).agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
         raise ValueError("both arms must be present")
+    return sizes
+
+
+def _arm_weight(treat: str, sizes: dict[int, int]) -> Column:
+    """Weights under which both arms count the same."""
     total = sum(sizes.values())
-    weight = F.when(F.col(treat) == 1, total / (2.0 * sizes[1])).otherwise(total / (2.0 * sizes[0]))
-    data = VectorAssembler(inputCols=covariates, outputCol="__x").transform(df.withColumn("__w", weight))
-    model = LogisticRegression(featuresCol="__x", labelCol=treat, weightCol="__w", regParam=reg, maxIter=max_iter, probabilityCol="__p", rawPredictionCol="__m", predictionCol="__y").fit(data)
-    scored = model.transform(data)
-    return scored.select(*df.columns, vector_to_array("__p")[1].alias("score"), vector_to_array("__m")[1].alias("logit"))
+    return F.when(F.col(treat) == 1, total / (2.0 * sizes[1])).when(F.col(treat) == 0, total / (2.0 * sizes[0]))
+
+
+def propensity_equations(df: DataFrame, treat: str, covariates: list[str]) -> DataFrame:
+    """(term, total, size) of the score equations of ``propensity`` without a penalty; totals are zero but for rounding."""
+    model = propensity_models(df, treat, {"": covariates})[""]
+    return score_sums(df, treat, model, _arm_weight(treat, _arm_sizes(df, treat)))
 
 
 def match_caliper(df: DataFrame, id: str, treat: str, score: str, caliper: float) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.probability import Z95, log10_normal_two_sided
 from cohortry.operators.aggregate import require_columns
+from cohortry.operators.glm import fit_logits, score_sums
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.scan import prefix_scan, rank_rows
 from cohortry.operators.timewin import group_max, latest
@@ -69,10 +72,8 @@ def fold(key: Column, k: int, seed: int) -> Column:
 
 
 def estimator(kind: str, label: str, **options):
-    """A model by name: logistic, forest (100 regression trees) or boosting (regression)."""
-    common = {"featuresCol": "__x", "labelCol": label}
-    if kind == "logistic":
-        return LogisticRegression(**common, weightCol="__w", **options)
+    """A model by name: forest (100 regression trees) or boosting (regression), on weighted rows."""
+    common = {"featuresCol": "__x", "labelCol": label, "weightCol": "__w"}
     if kind == "forest":
         return RandomForestRegressor(**common, **{"numTrees": 100, "seed": 1, **options})
     if kind == "boosting":
@@ -80,33 +81,94 @@ def estimator(kind: str, label: str, **options):
     raise ValueError(f"unknown model {kind!r}")
 
 
-def oof_predict(df: DataFrame, id: str, label: str, features: list[str], kind: str = "logistic", k: int = 5, seed: int = 457, balance: bool = True, models: list | None = None, **options) -> DataFrame:
-    """Out-of-fold scores (id, label, score): each row is predicted by the model that did not see its fold.
+def poisson_draws(unit: Column, mean: float) -> Column:
+    """A Poisson number with the given mean (at most 1) from a uniform number in 0…1: how often its distribution function lies below it."""
+    steps, term, upto = [], math.exp(-mean), 0.0
+    while term > 1e-18:
+        upto += term
+        steps.append(upto)
+        term *= mean / len(steps)
+    return sum((F.when(unit > u, 1).otherwise(0) for u in steps), F.lit(0))
 
-    ``balance`` undersamples the majority class of every training set. Missing features get the median of the training folds (0 if a
-    feature is missing throughout); rows without a label are predicted but never learnt from. Fitted models are appended to ``models``.
+
+def poisson_weights(id: str, label: str, sizes: dict, seed: int) -> Column:
+    """How often a row is drawn when every class is drawn with replacement as often as the smallest one has rows.
+
+    Drawing n of N rows with replacement gives each row a Poisson count of mean n / N, up to the fixed total. Counts come from a seeded hash of
+    the id, so there is no ranking and no table of draws, and each row decides alone. ``sizes`` maps a class to its rows.
     """
+    unit = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
+    smallest, out = min(sizes.values(), default=0), F.lit(0)
+    for value, n in sizes.items():
+        out = F.when(F.col(label) == value, poisson_draws(unit, smallest / n)).otherwise(out)
+    return out
+
+
+def undersample_poisson(df: DataFrame, label: str, id: str, seed: int, name: str = "draws") -> DataFrame:
+    """The rows with the number of times each is drawn; classes have as many draws as the smallest one has rows, on average. Null labels: 0."""
+    sizes = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return df.withColumn(name, poisson_weights(id, label, sizes, seed))
+
+
+@dataclass(frozen=True)
+class Training:
+    """What all folds learn from: rows with their fold, and per fold the training weight of a row and the fills of missing features."""
+
+    rows: DataFrame
+    weights: list[Column]
+    fills: list[list[float]]
+
+
+def training(df: DataFrame, id: str, label: str, features: list[str], k: int, seed: int, balance: bool) -> Training:
+    """Rows are written once; class sizes and medians of all training sets come from one job each."""
     require_columns(df, [id, label, *features])
     data = df.select(id, F.col(label).cast("double").alias(label), *[F.col(f).cast("double").alias(f) for f in features])
     data = checkpoint(data.withColumn("__fold", fold(F.col(id), k, seed)))
-    assembler, parts = VectorAssembler(inputCols=features, outputCol="__x"), []
+    known = data.where(F.col(label).isNotNull())
+    inside = known.withColumn("__set", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("__fold"))))
+    medians = {(r["__set"], r["column"]): r["m"] for r in exact_quantiles(inside, ["__set"], features, {"m": 0.5}).collect()}
+    sizes: dict[int, dict] = {i: {} for i in range(k)}
+    if balance:
+        for r in inside.groupBy("__set", label).agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[r["__set"]][r[label]] = r["n"]
+    learnt = [(F.col("__fold") != i) & F.col(label).isNotNull() for i in range(k)]
+    weights = [F.when(learnt[i], poisson_weights(id, label, sizes[i], seed + i) if balance else F.lit(1)).otherwise(0) for i in range(k)]
+    return Training(data, weights, [[medians.get((i, f), 0.0) for f in features] for i in range(k)])
+
+
+def oof_predict(df: DataFrame, id: str, label: str, features: list[str], kind: str = "logistic", k: int = 5, seed: int = 457, balance: bool = True, models: list | None = None, **options) -> DataFrame:
+    """Out-of-fold scores (id, label, score): each row is predicted by the model that did not see its fold.
+
+    ``balance`` draws every class of a training set with replacement, as often as its smallest class has rows, by Poisson counts that
+    serve as weights. Missing features get the median of the training folds (0 if a feature is missing throughout); rows without a label are
+    predicted but never learnt from. Fitted models are appended to ``models``. Logistic models of all folds are fitted together; they take
+    ``ridge`` and ``max_iter``.
+    """
+    sets = training(df, id, label, features, k, seed, balance)
+    data, parts = sets.rows, []
+    if kind == "logistic":
+        fitted = fit_logits(data, label, features, sets.weights, sets.fills, **options)
+        if models is not None:
+            models.extend(fitted)
+        score = reduce(lambda rest, i: F.when(F.col("__fold") == i, fitted[i].probability()).otherwise(rest), range(k), F.lit(None).cast("double"))
+        return data.select(id, label, score.alias("score"))
+    assembler = VectorAssembler(inputCols=features, outputCol="__x")
     for i in range(k):
-        train = data.where((F.col("__fold") != i) & F.col(label).isNotNull())
-        medians = {r["column"]: r["m"] for r in exact_quantiles(train, [], features, {"m": 0.5}).collect()}  # one row per feature
-        filled = assembler.transform(data.na.fill({f: medians.get(f, 0.0) for f in features}))
-        train = filled.where((F.col("__fold") != i) & F.col(label).isNotNull())
-        if balance:
-            train = undersample(train, label, id, seed + i)
-        if kind == "logistic":
-            train = train.withColumn("__w", F.lit(1.0))
-        model = estimator(kind, label, **options).fit(train)
+        filled = assembler.transform(data.withColumn("__w", sets.weights[i].cast("double")).na.fill(dict(zip(features, sets.fills[i], strict=True)), features))
+        model = estimator(kind, label, **options).fit(filled.where("__w > 0"))
         if models is not None:
             models.append(model)
-        score = vector_to_array("probability")[1] if kind == "logistic" else F.col("prediction")
-        parts.append(model.transform(filled.where(F.col("__fold") == i)).select(id, label, score.alias("score")))
+        parts.append(model.transform(filled.where(F.col("__fold") == i)).select(id, label, F.col("prediction").alias("score")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def oof_equations(df: DataFrame, id: str, label: str, features: list[str], k: int = 5, seed: int = 457, balance: bool = True, **options) -> DataFrame:
+    """(set, term, total, size): the score equations of every fold's logistic model; totals are zero but for rounding."""
+    sets = training(df, id, label, features, k, seed, balance)
+    fitted = fit_logits(sets.rows, label, features, sets.weights, sets.fills, **options)
+    return reduce(DataFrame.unionByName, [score_sums(sets.rows, label, m, sets.weights[i]).select(F.lit(i).alias("set"), "*") for i, m in enumerate(fitted)])
+
+
 def undersample(df: DataFrame, label: str, id: str, seed: int, replacement: bool = False) -> DataFrame:
     """As many rows of every class as the smallest one has, chosen by seeded hash order; ``replacement`` draws rows with repetition.
 

@@ -84,6 +84,14 @@ def _(t):
     return M.oof_predict(_scored(t), "id", "y", FEATURES, "logistic", k=5)
 
 
+@query("oof_logistic_equations", """
+    SELECT s.i::int AS "set", term, true AS solved FROM range(5) s(i), (VALUES (''), ('s'), ('s2'), ('w')) t(term)""")
+def _(t):
+    """Whether the fitted model of every fold solves its weighted score equations."""
+    r = M.oof_equations(_scored(t), "id", "y", FEATURES, k=5)
+    return r.select("set", "term", (F.abs("total") <= 1e-6 * F.col("size")).alias("solved"))
+
+
 @query("oof_forest")
 def _(t):
     return M.oof_predict(_scored(t), "id", "y", FEATURES, "forest", k=3, maxDepth=4)
@@ -114,6 +122,15 @@ def _(t):
     return A.value_counts(M.undersample(_scored(t), "y", "id", 457, replacement=True), "y")
 
 
+@query("undersample_poisson", "SELECT quality AS y, count(*) AS n, true AS near FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def _(t):
+    """Rows of each class, and whether its draws lie within four standard errors of the smallest class."""
+    x = M.undersample_poisson(_scored(t), "y", "id", 457)
+    per = x.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("draws").alias("drawn"))
+    least = per.agg(F.min("n").alias("m")).select("m").scalar()
+    return per.select("y", "n", (F.abs(F.col("drawn") - least) <= 4 * F.sqrt(least)).alias("near"))
+
+
 @query("cohort_logit_coefficients")
 def _(t):
     """Logistic model over one event per user, saved, loaded again and shown as its coefficient table."""

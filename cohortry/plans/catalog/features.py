@@ -112,6 +112,15 @@ def _(t):
     return scored.select("c_custkey", "t", rnd("score", 4).alias("score"), rnd("logit", 4).alias("logit"))
 
 
+@query("propensity_equations", "SELECT term, true AS solved FROM (VALUES (''), ('c_acctbal'), ('n'), ('total')) t(term)")
+def _(t):
+    """Whether the propensity model solves its weighted score equations."""
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    u = t.customer.join(o, "c_custkey").withColumn("t", (F.col("c_mktsegment") == "BUILDING").cast("int"))
+    r = M.propensity_equations(u, "t", ["c_acctbal", "n", "total"])
+    return r.select("term", (F.abs("total") <= 1e-6 * F.col("size")).alias("solved"))
+
+
 @query("propensity_sensitivity")
 def _(t):
     """The same match with one covariate more: matched pairs per covariate set."""
@@ -119,8 +128,8 @@ def _(t):
     u = t.customer.join(o, "c_custkey", "left").na.fill(0.0).withColumn("t", (F.col("c_mktsegment") == "BUILDING").cast("int"))
     u = u.withColumn("nation", F.col("c_nationkey").cast("double"))
     parts = []
-    for name, cov in (("base", ["c_acctbal", "n"]), ("added", ["c_acctbal", "n", "nation"])):
-        scored = M.propensity(u.select("c_custkey", "t", *cov), "t", cov)
-        pairs = M.match_caliper(scored, "c_custkey", "t", "logit", 0.2)
+    sets = {"base": ["c_acctbal", "n"], "added": ["c_acctbal", "n", "nation"]}
+    for name, model in M.propensity_models(u, "t", sets).items():
+        pairs = M.match_caliper(u.select("c_custkey", "t", model.logit().alias("logit")), "c_custkey", "t", "logit", 0.2)
         parts.append(pairs.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("control").alias("controls")).withColumn("covariates", F.lit(name)))
     return parts[0].unionByName(parts[1])
