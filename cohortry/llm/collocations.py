@@ -31,14 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, Rolling, mix, ranges, slices, text_bytes, word_spans
-from .store import pick, saved
+from .store import pick, saved, small_batches
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 SEPARATOR = BREAK.copy()
 SEPARATOR[[9, 32]] = True
 #: Bytes of text that are worked on at once, and keys that a task gathers before it sends them on.
-SLICE, GATHERED = 1 << 22, 1_500_000
+SLICE, GATHERED = 1 << 20, 600_000
+ROWS = 1 << 15
 #: Size of the hashed bitmaps as a power of two (32 million bits are 4 MB).
 FILTER_BITS = 25
 #: A page of the engine's bitmap functions.
@@ -115,8 +116,10 @@ def grown(docs: DataFrame, size: int, seed: int, mask: int, frequent, right=None
             return combined([np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True)], np.concatenate([p[1] for p in parts]))
 
         def out(columns, n, _):
-            lang = pa.array(list(known), pa.string()).take(pa.array(columns[0].astype(np.int32)))
-            return pa.RecordBatch.from_arrays([lang, *[pa.array(c.view(np.int64)) for c in columns[1:]], pa.array(n)], names=["lang", *names, "n"])
+            langs = pa.array(list(known), pa.string())
+            for at in range(0, len(n), ROWS):  # what the engine takes over at once
+                lang, *keys = [c[at : at + ROWS] for c in columns]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang.astype(np.int32))), *[pa.array(c.view(np.int64)) for c in keys], pa.array(n[at : at + ROWS])], names=["lang", *names, "n"])
 
         for batch in slices(batches, "text", SLICE):
             words = Words(batch, seed, mask)
@@ -136,9 +139,9 @@ def grown(docs: DataFrame, size: int, seed: int, mask: int, frequent, right=None
             if sum(len(p[1]) for p in parts) > GATHERED:
                 parts[:] = [gathered()]
                 if len(parts[0][1]) > GATHERED // 2:
-                    yield out(*parts.pop())
+                    yield from out(*parts.pop())
         if parts:
-            yield out(*gathered())
+            yield from out(*gathered())
 
     schema = "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long"
     return docs.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
@@ -216,6 +219,11 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, least: int = 10, top: in
     Candidates are phrases of two or three words with at least ``least`` occurrences; those inside a longer candidate that has ``cover``
     percent of their occurrences or more are left out.
     """
+    with small_batches(docs.sparkSession):  # every pass over the texts ends in a written table within
+        return _mine(docs, text_col, lang_col, least, top, cover, hash_bits)
+
+
+def _mine(docs: DataFrame, text_col: str, lang_col: str, least: int, top: int, cover: int, hash_bits: int) -> DataFrame:
     spark, mask = docs.sparkSession, (1 << hash_bits) - 1
     rows = pick(docs, text=text_col, lang=lang_col).withColumn("lang", F.coalesce("lang", F.lit("und")))
     seed = 0

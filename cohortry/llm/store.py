@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,18 @@ def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
     return spark.table(name)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Hand texts to Python in batches of few bytes instead of many rows: what a worker and its executor hold at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear(spark: SparkSession | None = None) -> None:
     """Delete the tables written by ``saved``; results that still read them must be finished."""
     while _WRITTEN:
