@@ -5,10 +5,9 @@ byte fallback (which puts that space there itself). In each batch, ``pandas.merg
 other side's covering token, in both directions; the union of both are all overlaps. Overlapping tokens whose ranges end together are
 *links*; their ends cut both sides into groups.
 
-Texts are tokenized word by word with bounded tables of known words, where the words' tokens cannot depend on their neighbours: between
-the matches of A's own word pattern, and before blanks and line feeds, which stand inside no piece of B. Everything else, and each new
-word, goes to the libraries themselves. Long texts are cut into segments at blanks where both sides cut, so memory does not grow with them
-unless they have no such blank.
+Side A's ids come from a merger with the vocabulary's own ranks and word pattern, which is several times as fast as its library; texts with
+signs outside Latin scripts go to the library itself. Long texts are cut into segments at blanks between visible signs, where both sides
+cut too (no piece holds a blank after another sign), so memory does not grow with them unless they have no such blank.
 
 A text that is null or empty, or that one side does not give back byte for byte (a normalised sign), has no tokens: zeros and an empty
 digest. Rows with equal or null ids count each by itself. Strings of special tokens are plain text. Columns besides id and text are not read.
@@ -28,18 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices
-from .store import pick, saved
+from .store import pick, saved, small_batches
 from .wordpieces import byte_letters
 
-KNOWN = 500_000
 #: Characters of a segment, and of the segments that are aligned together.
-SEGMENT, TOGETHER = 1 << 18, 1 << 20
+SEGMENT, TOGETHER = 1 << 18, 1 << 19
 CUT = regex.compile("(?<=[!-~]) (?=[!-~])")
 #: Signs whose classes are the same in every version of the character tables.
 PLAIN = regex.compile("[\t\n\r -~¡-ɏ]*")
 #: Fixed value: the word pattern of byte-level vocabularies.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PIECES = regex.compile(r" +[^ \n]*|\n+[^ \n]*|[^ \n]+")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"
 #: Pairs up to which the table of counts is sent to every machine (17 bytes each); beyond it the counts are joined by shuffle.
 SENT_PAIRS = 2_000_000
@@ -48,84 +45,44 @@ SENT_PAIRS = 2_000_000
 class Side:
     """``encode(segment)`` gives the packed 32-bit ids of a segment that begins with a space, or None; ``sizes`` the bytes of each id."""
 
-    sizes: np.ndarray
     raw: list[bytes]
-
-    def __init__(self):
-        self.known: dict[str, bytes | None] = {}
+    sizes: np.ndarray
 
     def packed(self, ids: list[int], text: str) -> bytes | None:
         """The ids, if their bytes joined are the text."""
-        raw = self.raw
-        return np.array(ids, "<u4").tobytes() if b"".join([raw[i] for i in ids]) == text.encode() else None
-
-    def looked_up(self, words: list[str]) -> bytes | None:
-        known = self.known
-        fresh = {w for w in words if w not in known}
-        if fresh:
-            if len(known) > KNOWN:
-                known.clear()
-                fresh = set(words)
-            self.learn(list(fresh))
-        ids = [known[w] for w in words]
-        for w in fresh:
-            if len(w) > 40:  # long words hardly come again
-                del known[w]
-        return None if None in ids else b"".join(ids)
+        return np.array(ids, "<u4").tobytes() if b"".join(map(self.raw.__getitem__, ids)) == text.encode() else None
 
 
 class ByteLevel(Side):
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         letters = byte_letters()
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.raw = [b""] * (max(vocab.values()) + 1)
-        for piece, i in vocab.items():
-            self.raw[i] = bytes(letters[c] for c in piece)
+        ids = {bytes(letters[c] for c in piece): i for piece, i in self.library.get_vocab(with_added_tokens=False).items()}
+        self.raw = sorted(ids, key=ids.get)
         self.sizes = np.array(list(map(len, self.raw)))
-
-    def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = self.packed(e.ids, w)
+        self.merger = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, segment: str) -> bytes | None:
         if PLAIN.fullmatch(segment):
-            return self.looked_up(WORDS.findall(segment))
+            return np.array(self.merger.encode_ordinary(segment), "<u4").tobytes()  # merged bytes are the text's
         return self.packed(self.library.encode(segment, add_special_tokens=False).ids, segment)
 
 
 class Pieces(Side):
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.raw = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array(list(map(len, self.raw)))
-        self.blank = model.piece_to_id(SPACE)
-        # pieces begin at blanks and hold no line feed, and a lone blank has a piece
-        plain = [p for i, p in enumerate(pieces) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-        self.by_word = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in plain) and not model.is_unknown(self.blank)
-
-    def learn(self, words: list[str]) -> None:
-        # the library puts a blank before each text, as the segment has one before its words
-        bare = [w[1:] if w[0] == " " else w for w in words]
-        for w, ids in zip(words, self.library.encode(bare, num_threads=1), strict=True):
-            if w == " ":
-                ids = [self.blank]
-            elif w[0] != " ":
-                ids = ids[1:] if ids[:1] == [self.blank] else [self.blank]  # never equal to the word's bytes
-            self.known[w] = self.packed(ids, w)
 
     def encode(self, segment: str) -> bytes | None:
-        if self.by_word:
-            return self.looked_up(PIECES.findall(segment))
         return self.packed(self.library.encode(segment[1:], num_threads=1), segment)
 
 
@@ -198,10 +155,11 @@ def align(a: list[bytes], b: list[bytes], a_side: Side, b_side: Side) -> dict[st
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
     """One row per document: row, id, n_a, n_b, n_groups, n_links, groups_sha256, n_overlaps, pairs (A id times the size of B's vocabulary plus B id, per link)."""
     rows = pick(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    small = len(side(ByteLevel, a_path).sizes) * len(side(Pieces, b_path).sizes) < 1 << 31
 
     def run(batches):
         a_side, b_side = side(ByteLevel, a_path), side(Pieces, b_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             n = batch.num_rows
             sums, lost = np.zeros((n, 4), np.int64), np.zeros(n, bool)
             digests, pairs = [None] * n, [[] for _ in range(n)]
@@ -243,12 +201,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
             out = {c: batch.column(c) for c in ("row", "id")}
             out |= {"n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 2], "n_overlaps": sums[:, 3]}
             out["groups_sha256"] = ["" if gone or d is None else d.hexdigest() for d, gone in zip(digests, lost, strict=True)]
-            out["pairs"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(listed) if n else []))
+            out["pairs"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(listed), pa.int32() if small else pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps"))
-    return rows.mapInArrow(run, f"row long, id {kind}, {counts}, groups_sha256 string, pairs array<long>")
+    return rows.mapInArrow(run, f"row long, id {kind}, {counts}, groups_sha256 string, pairs array<{'int' if small else 'long'}>")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -305,8 +263,10 @@ def link_sums(found: DataFrame, ranked: DataFrame, sent: int = SENT_PAIRS) -> Da
 
 def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, sent: int = SENT_PAIRS) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_overlaps, groups_sha256, n_best, count_sum."""
-    found = saved(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
-    counts = saved(pair_counts(found), "pairs").withColumn("b", F.col("pair") % len(side(Pieces, b_path).sizes))
+    with small_batches(docs.sparkSession):
+        found = saved(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
+        counts = saved(pair_counts(found), "pairs")
+    counts = counts.withColumn("b", F.col("pair") % len(side(Pieces, b_path).sizes))
     top = counts.groupBy("b").agg(F.max("n").alias("top"))
     ranked = counts.join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
     return link_sums(found, saved(ranked, "ranked"), sent).drop("row")
