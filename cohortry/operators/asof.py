@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.session import checkpoint
+
 #: Stretches of up to 2**LEVELS days; more than the days of the years 1 to 9999.
 LEVELS = 22
 #: Days are counted from here, so that they are not negative.
@@ -76,8 +78,8 @@ def window_flags(cohort: DataFrame, daily: DataFrame, keys: list[str], lo: Colum
     return counted.select(*cohort.columns, *[(F.col(names[m]) > 0).cast("int").alias(n) for m, n in flags.items()])
 
 
-def _stretches(first: Column, last: Column) -> Column:
-    """The power-of-two stretches (level, number) of days that make up first … last, at most two for each level."""
+def _stretches(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """The power-of-two stretches (level, number) of days that make up first … last, at most two for each level up to ``levels``."""
 
     def level(j: int) -> Column:
         size = 1 << j
@@ -88,23 +90,19 @@ def _stretches(first: Column, last: Column) -> Column:
         right = F.when((a < b) & odd(b), F.struct(F.lit(j).alias("level"), (b - 1).alias("node")))
         return F.array(left, right)
 
-    return F.array_compact(F.flatten(F.array(*[level(j) for j in range(LEVELS + 1)])))
+    return F.array_compact(F.flatten(F.array(*[level(j) for j in range(levels + 1)])))
 
 
-def repeats_in_windows(spans: DataFrame, repeats: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Per distinct window (keys, __lo, __hi): sums over the repeats (keys, __before, __day, measures) that lie inside it.
+def repeats_in_windows(spans: DataFrame, near: DataFrame, keys: list[str], measures: list[str], levels: int = LEVELS) -> DataFrame:
+    """Per distinct window (keys, __lo, __hi): sums over the repeats (keys, __before, __day, __reach, measures) that lie inside it.
 
-    Repeats further apart than their key's longest window are left out first. A repeat stands in one stretch of each level, a window asks
-    at most two of each.
+    A repeat stands in one stretch of each level, a window asks at most two of each. ``__reach`` is the length of the key's longest window
+    in days: no stretch of a window is longer than the window.
     """
-    longest = spans.groupBy(*keys).agg(F.max(F.datediff("__hi", "__lo")).alias("__reach"))
-    near = repeats.join(longest, keys).where(F.datediff("__day", "__before") <= F.col("__reach"))
-    near = near.groupBy(*keys, "__before", "__day", "__reach").agg(*[F.sum(m).alias(m) for m in measures])
-    # no stretch of a window is longer than the window
-    levels = F.sequence(F.lit(0), F.least(F.floor(F.log2(F.col("__reach") + 1)) + 1, F.lit(LEVELS)).cast("int"))
-    at = near.withColumn("level", F.explode(levels)).withColumn("node", F.expr(f"shiftright(unix_date(__day) + {ORIGIN}, level)"))
+    own = F.sequence(F.lit(0), F.least(F.floor(F.log2(F.col("__reach") + 1)) + 1, F.lit(levels)).cast("int"))
+    at = near.withColumn("level", F.explode(own)).withColumn("node", F.expr(f"shiftright(unix_date(__day) + {ORIGIN}, level)"))
     asked = spans.join(near.select(*keys).distinct(), keys, "left_semi")
-    asked = asked.withColumn("__s", F.explode(_stretches(_position(F.col("__lo")), _position(F.col("__hi"))))).select(*keys, "__lo", "__hi", "__s.*")
+    asked = asked.withColumn("__s", F.explode(_stretches(_position(F.col("__lo")), _position(F.col("__hi")), levels))).select(*keys, "__lo", "__hi", "__s.*")
     place = [*keys, "level", "node"]
     counts = running_at(at.withColumnRenamed("__before", "__d"), asked.withColumnRenamed("__lo", "__d").select(*place, "__d"), place, "__d", measures, descending=True)
     found = asked.join(counts.withColumnRenamed("__d", "__lo"), [*place, "__lo"])
@@ -112,21 +110,32 @@ def repeats_in_windows(spans: DataFrame, repeats: DataFrame, keys: list[str], me
 
 
 def distinct_in_windows(cohort: DataFrame, facts: DataFrame, keys: list[str], t: str, lo: Column, hi: Column, item: str, series: dict[str, Column]) -> DataFrame:
-    """Cohort rows with numbers of distinct items on the days lo … hi, one per series (name → which facts count); 0 without any."""
-    wanted = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(series.values())]))
-    marked = facts.where(F.col(item).isNotNull()).select(*keys, F.to_date(t).alias("__day"), F.col(item).alias("__item"), F.explode(wanted).alias("__series"))
-    days = marked.where(F.col("__day").isNotNull()).distinct()
-    names = list(series)
-    tags = [(F.col("__series") == i).cast("long").alias(f"__m{i}") for i in range(len(names))]
-    measures = [f"__m{i}" for i in range(len(names))]
-
-    seen = Window.partitionBy(*keys, "__item", "__series").orderBy("__day")
-    placed = days.withColumn("__before", F.lag("__day").over(seen))
-    daily = placed.groupBy(*keys, "__day").agg(*[F.sum(m).alias(n) for m, n in zip(tags, measures, strict=True)])
-    out = window_totals(cohort.withColumns({"__wlo": F.to_date(lo), "__whi": F.to_date(hi)}), daily, keys, F.col("__wlo"), F.col("__whi"), {m: f"{m}_days" for m in measures})
-
-    spans = out.where("__wlo <= __whi").select(*keys, F.col("__wlo").alias("__lo"), F.col("__whi").alias("__hi")).distinct()
-    repeats = placed.where("__before is not null").select(*keys, "__before", "__day", *tags)
-    again = repeats_in_windows(spans, repeats, keys, measures).withColumnsRenamed({"__lo": "__wlo", "__hi": "__whi", **{m: f"{m}_again" for m in measures}})
+    """Cohort rows with numbers of distinct items on the days lo … hi, one per series (name → which facts count); 0 without any.
+
+    The repeats that are no further apart than their key's longest window are written once; most tables have few.
+    """
+    measures = [f"__m{i}" for i in range(len(series))]
+    marks = [F.max(F.coalesce(c, F.lit(False)).cast("long")).alias(m) for m, c in zip(measures, series.values(), strict=True)]
+    days = facts.where(F.col(item).isNotNull() & F.col(t).isNotNull()).groupBy(*keys, F.to_date(t).alias("__day"), F.col(item).alias("__item")).agg(*marks)
+    daily = days.groupBy(*keys, "__day").agg(*[F.sum(m).alias(m) for m in measures])
+    windows = cohort.withColumns({"__wlo": F.to_date(lo), "__whi": F.to_date(hi)})
+    out = window_totals(windows, daily, keys, F.col("__wlo"), F.col("__whi"), {m: f"{m}_days" for m in measures})
+
+    spans = windows.where("__wlo <= __whi").select(*keys, F.col("__wlo").alias("__lo"), F.col("__whi").alias("__hi")).distinct()
+    seen = Window.partitionBy(*keys, "__item").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    placed = days.withColumns({f"{m}_before": F.max(F.when(F.col(m) == 1, F.col("__day"))).over(seen) for m in measures})
+    longest = spans.groupBy(*keys).agg(F.max(F.datediff("__hi", "__lo")).alias("__reach"))
+
+    def repeat(m: str) -> Column:
+        own = [F.lit(int(m == x)).cast("long").alias(x) for x in measures]
+        return F.when((F.col(m) == 1) & (F.datediff("__day", f"{m}_before") <= F.col("__reach")), F.struct(F.col(f"{m}_before").alias("__before"), *own))
+
+    near = placed.where(F.coalesce(*[F.col(f"{m}_before") for m in measures]).isNotNull()).join(longest, keys)
+    near = near.select(*keys, "__day", "__reach", F.inline(F.array_compact(F.array(*[repeat(m) for m in measures]))))
+    near = checkpoint(near.groupBy(*keys, "__before", "__day", "__reach").agg(*[F.sum(m).alias(m) for m in measures]))
+    reach = near.agg(F.max("__reach")).first()[0]
+    if reach is None:
+        return out.select(*cohort.columns, *[F.col(f"{m}_days").alias(n) for m, n in zip(measures, series, strict=True)])
+    again = repeats_in_windows(spans, near, keys, measures, min(LEVELS, (reach + 1).bit_length())).withColumnsRenamed({"__lo": "__wlo", "__hi": "__whi", **{m: f"{m}_again" for m in measures}})
     out = out.join(again, [*keys, "__wlo", "__whi"], "left")
-    return out.select(*cohort.columns, *[(F.col(f"{m}_days") - F.coalesce(F.col(f"{m}_again"), F.lit(0))).alias(n) for m, n in zip(measures, names, strict=True)])
+    return out.select(*cohort.columns, *[(F.col(f"{m}_days") - F.coalesce(F.col(f"{m}_again"), F.lit(0))).alias(n) for m, n in zip(measures, series, strict=True)])

@@ -1,6 +1,6 @@
 """Interval logic between a cohort with index dates and dated facts.
 
-Windows are inclusive calendar-day ranges. Flags and counts come from running totals at both ends of a window (``asof``).
+Windows are inclusive calendar-day ranges. Flags, and counts over wide windows, come from running totals at both ends of a window (``asof``).
 Where the facts themselves are wanted, they are reduced to one row per key and day (and item) before the join,
 and cohort rows to their distinct windows; both are bounded by the calendar for any one key, and the join itself
 spreads a key over time cells (``range_join``). A person with a third of all records is therefore no hot spot.
@@ -132,11 +132,12 @@ def onset(index: Column, admit: Column, lag: int = 5) -> Column:
     return F.when(admit < F.date_sub(index, lag), index).when(admit >= F.date_sub(index, lag), admit)
 
 
-def _window_items(cohort, facts, keys, t, lo, hi, item):
-    """Distinct items per window."""
-    daily = facts.where(F.col(item).isNotNull()).select(*keys, F.to_date(t).alias("__day"), item).distinct()
+def _window_items(cohort, facts, keys, t, lo, hi, item, extra=()):
+    """Distinct items per window, with the maximum of each extra 0/1 column."""
+    daily = facts.where(F.col(item).isNotNull()).groupBy(*keys, F.to_date(t).alias("__day"), item).agg(*[F.max(c).alias(c) for c in extra] or [F.lit(1).alias("__x")])
     windows = _windows(cohort, keys, lo, hi)
-    return windows, _in_window(windows, daily, keys).select(*keys, "__lo", "__hi", item).distinct()
+    items = _in_window(windows, daily, keys).groupBy(*keys, "__lo", "__hi", item).agg(*[F.max(c).alias(c) for c in extra] or [F.lit(1).alias("__x")])
+    return windows, items
 
 
 def window_item_counts(
@@ -145,6 +146,18 @@ def window_item_counts(
 ) -> DataFrame:
     """Distinct items in [lo, hi] per cohort row; with ``split=(column, values)`` also ``<name>_<value>``; 0 where none."""
     col, values = split or (None, [])
+    tags = {f"{name}_{v}": (F.col(col) == v).cast("int") for v in values}
+    windows, items = _window_items(cohort, facts.withColumns(tags) if tags else facts, keys, t, lo, hi, item, list(tags))
+    found = items.groupBy(*keys, "__lo", "__hi").agg(F.count(F.lit(1)).alias(name), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in tags])
+    return _attach(windows, found, keys, dict.fromkeys([name, *tags], 0))
+
+
+def wide_window_item_counts(
+    cohort: DataFrame, facts: DataFrame, keys: list[str], t: str, lo: Column, hi: Column, item: str,
+    split: tuple[str, list] | None = None, name: str = "n_items",
+) -> DataFrame:
+    """``window_item_counts`` by running counts, for windows that hold most of a key's facts: no fact is paired with a window."""
+    col, values = split or (None, [])
     series = {name: F.lit(True), **{f"{name}_{v}": F.col(col) == v for v in values}}
     return distinct_in_windows(cohort, facts, keys, t, lo, hi, item, series)
 

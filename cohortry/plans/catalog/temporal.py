@@ -109,6 +109,15 @@ def _(t):
     return r.select("k", "n_items", "n_items_F", "n_items_O")
 
 
+@query("window_counts_wide", "WITH " + FACTS + """
+    SELECT k, count(DISTINCT item) AS n_items, count(DISTINCT item) FILTER (ls='F') AS "n_items_F", count(DISTINCT item) FILTER (ls='O') AS "n_items_O"
+    FROM c LEFT JOIN f ON f.p=c.p AND t BETWEEN i-900 AND i+1200 GROUP BY 1""")
+def _(t):
+    i = F.col("i")
+    r = T.wide_window_item_counts(cohort(t), facts(t), ["p"], "t", F.date_sub(i, 900), F.date_add(i, 1200), "item", ("ls", ["F", "O"]))
+    return r.select("k", "n_items", "n_items_F", "n_items_O")
+
+
 @query("window_set", "WITH " + FACTS + """
     SELECT k, count(DISTINCT item) AS items_count, string_agg(DISTINCT item::varchar, ',' ORDER BY item::varchar) AS items_list
     FROM c LEFT JOIN (SELECT * FROM f WHERE flag='R' UNION ALL SELECT * FROM f WHERE ls='F') f ON f.p=c.p AND t BETWEEN i+1 AND i+45 GROUP BY 1""")
