@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalars import coalesce_first, strip_prefix
 from cohortry.operators.aggregate import require_columns
+from cohortry.session import checkpoint
 
 
 def registry(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -45,6 +46,22 @@ def _expand(found: DataFrame, concept: DataFrame, edges: DataFrame, source: str,
     return found.select(*cols).union(reached.select(*cols)).distinct()
 
 
+def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """(ancestor_concept_id, descendant_concept_id) of all paths of one edge or more, from direct edges; a cycle reaches itself.
+
+    Each round joins the pairs found last with all known ones, so path lengths double and a hierarchy of depth d takes about log2(d) rounds.
+    Pairs are written after each round. Null ends are no edges; repeated edges count once.
+    """
+    pairs = edges.select(F.col(parent).alias("a"), F.col(child).alias("d")).where("a is not null and d is not null").distinct()
+    known = fresh = checkpoint(pairs)
+    while not fresh.isEmpty():
+        onward = known.select(F.col("a").alias("d"), F.col("d").alias("to"))
+        reached = fresh.join(onward, "d").select("a", F.col("to").alias("d")).distinct()
+        fresh = checkpoint(reached.join(known, ["a", "d"], "left_anti"))
+        known = known.union(fresh)
+    return known.select(F.col("a").alias("ancestor_concept_id"), F.col("d").alias("descendant_concept_id"))
+
+
 def expand_descendants(found: DataFrame, concept: DataFrame, ancestor: DataFrame) -> DataFrame:
     """Codes plus all descendants through the ancestor closure."""
     return _expand(found, concept, ancestor, "ancestor_concept_id", "descendant_concept_id")

@@ -47,6 +47,32 @@ def _(t):
     return K.expand_descendants(K.codes(_registry(t), concept, "GEO"), concept, ancestor)
 
 
+# Parts as a hierarchy of thirds (depth 7 and more), in which part 1 is also below part 5: 1, 5 and what lies under them form a cycle.
+PARENTS = "e AS (SELECT p_partkey // 3 AS a, p_partkey AS d FROM part WHERE p_partkey >= 3 UNION SELECT 5, 1), "
+
+
+def _parents(t):
+    thirds = t.part.where("p_partkey >= 3").select(F.floor(F.col("p_partkey") / 3).cast("long").alias("up"), F.col("p_partkey").alias("part"))
+    return thirds.union(t.spark.range(1).select(F.lit(5).cast("long"), F.lit(1).cast("long")))
+
+
+@query("closure", "WITH RECURSIVE " + PARENTS + """
+    r AS (SELECT a, d FROM e UNION SELECT r.a, e.d FROM r JOIN e ON e.a = r.d) SELECT a AS ancestor, d AS descendant FROM r""")
+def _(t):
+    r = K.closure(_parents(t), "up", "part")
+    return r.select(F.col("ancestor_concept_id").alias("ancestor"), F.col("descendant_concept_id").alias("descendant"))
+
+
+@query("descendants_from_edges", "WITH RECURSIVE " + PARENTS + """
+    r AS (SELECT a, d FROM e WHERE a IN (2, 7) UNION SELECT r.a, e.d FROM r JOIN e ON e.a = r.d)
+    SELECT 'L' || a AS label, p_name AS concept_name, p_partkey AS concept_id FROM (SELECT a, d FROM r UNION SELECT 2, 2 UNION SELECT 7, 7) JOIN part ON p_partkey = d""")
+def _(t):
+    """All parts below two of them, by labels, through the closure of the direct edges."""
+    concept = t.part.select(F.col("p_partkey").alias("concept_id"), F.col("p_partkey").cast("string").alias("concept_code"), F.col("p_name").alias("concept_name"), F.lit("PART").alias("vocabulary_id"))
+    wanted = t.part.where("p_partkey IN (2, 7)").select(F.concat(F.lit("L"), "p_partkey").alias("label"), F.col("p_partkey").cast("string").alias("code"))
+    return K.expand_descendants(K.codes(wanted, concept, "PART"), concept, K.closure(_parents(t), "up", "part")).select("label", "concept_name", "concept_id")
+
+
 @query("related_codes", REG + """
     SELECT label, reg.code, id AS concept_id, name AS concept_name FROM reg LEFT JOIN con USING (code)
     UNION SELECT label, c2.code, c2.id, c2.name FROM reg JOIN con USING (code) JOIN (SELECT a,d FROM edge UNION SELECT d,a FROM edge) e(a,d) ON a=con.id JOIN con c2 ON c2.id=d""")
