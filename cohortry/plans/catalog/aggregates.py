@@ -94,6 +94,13 @@ def _(t):
     return A.pivot_count(t.orders, ["o_custkey"], "o_orderstatus", ["F", "O", "P"], "status_")
 
 
+@query("count_distinct_ids", """
+    SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS n_l_orderkey, count(DISTINCT l_partkey) AS n_l_partkey, count(DISTINCT l_suppkey) AS n_l_suppkey
+    FROM lineitem GROUP BY 1, 2""")
+def _(t):
+    return A.count_distinct_ids(t.lineitem, ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
 @query("count_distinct", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY 1")
 def _(t):
     return A.count_distinct(t.lineitem, ["l_partkey"], "l_suppkey")

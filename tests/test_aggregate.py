@@ -79,3 +79,20 @@ def test_ledger_keeps_distinct_days(frame):
     df = frame([("a", d, "z"), ("a", d, "p"), ("a", dt.date(2024, 3, 1), "m"), ("a", None, "q")], "k string, d date, v string")
     r = W.ledger(df, ["k"], "d", "v").collect()[0]
     assert (r.first_label, r.last_label, len(r.entries)) == ("p", "m", 2)
+
+
+def test_distinct_ids_by_bitmaps(spark, rows):
+    """Negative, zero, large, repeated and null values, a null key, a group without values and one hot group."""
+    import random
+
+    rng = random.Random(9)
+    made = [(rng.choice(["hot"] * 5 + ["a", None]), rng.choice([None, 0, 1, -1, 32768, 32769, -32768, -32769, 2**62, -(2**62), rng.randrange(-70_000, 70_000)]), rng.randrange(40)) for _ in range(5000)]
+    made += [("empty", None, None)]
+    want = {}
+    for k, v, w in made:
+        one = want.setdefault(k, (set(), set()))
+        one[0].add(v)
+        one[1].add(w)
+    got = A.count_distinct_ids(spark.createDataFrame(made, "k string, v long, w int").repartition(5), ["k"], ["v", "w"])
+    assert rows(got) == sorted(((k, len(v - {None}), len(w - {None})) for k, (v, w) in want.items()), key=repr)
+    assert rows(A.count_distinct_ids(spark.createDataFrame(made, "k string, v long, w int"), [], ["v"])) == [(len({v for _, v, _ in made} - {None}),)]
