@@ -60,6 +60,37 @@ def _(t):
     return io.materialize(counts, path=io.scratch_folder(t.spark) + "/counts")
 
 
+@query("bucketed_stages", """
+    WITH a AS (SELECT o_custkey AS p, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+    b AS (SELECT o_custkey AS p, max(l_quantity) AS largest, count(*) AS n_lines FROM lineitem JOIN orders ON o_orderkey=l_orderkey GROUP BY 1)
+    SELECT c_custkey, c_mktsegment, coalesce(n,0) AS n, coalesce(n_lines,0) AS n_lines, largest FROM customer LEFT JOIN a ON a.p=c_custkey LEFT JOIN b ON b.p=c_custkey""")
+def _(t):
+    """Three steps of a cohort, stored by person and joined as they lie."""
+    store = lambda df: io.stage(df, ["c_custkey"], path=io.scratch_folder(t.spark) + "/stage")
+    orders = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    counts = store(orders.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n")))
+    lines = t.lineitem.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("c_custkey").agg(F.max("l_quantity").alias("largest"), F.count(F.lit(1)).alias("n_lines"))
+    people = store(t.customer.select("c_custkey", "c_mktsegment"))
+    return people.join(counts, "c_custkey", "left").join(store(lines), "c_custkey", "left").na.fill(0, ["n", "n_lines"]).select("c_custkey", "c_mktsegment", "n", "n_lines", "largest")
+
+
+@query("table_housekeeping", """
+    SELECT * FROM (VALUES ('stored', 1, 1), ('again', 0, 1), ('dropped', 1, 0), ('dropped again', 0, 0)) v(step, done, listed), (SELECT count(*) AS n_rows FROM region)""")
+def _(t):
+    """Write, refuse, drop and list tables: whether each step did something, and whether the table is listed after it."""
+    name, path = f"kept_{uuid.uuid4().hex}", io.scratch_folder(t.spark) + "/kept"
+    steps, rows = [], t.region.count()
+
+    def note(step: str, done: bool) -> None:
+        steps.append((step, int(done), int(name in io.list_tables(t.spark)), rows))
+
+    note("stored", io.save_table(t.region, name, path=path))
+    note("again", io.save_table(t.region, name, path=path))
+    note("dropped", io.drop_table(t.spark, name))
+    note("dropped again", io.drop_table(t.spark, name))
+    return t.spark.createDataFrame(steps, "step string, done int, listed int, n_rows long")
+
+
 @query("person_sets", """
     SELECT c_custkey, c_mktsegment, priorities FROM customer LEFT JOIN
       (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1) ON o_custkey=c_custkey

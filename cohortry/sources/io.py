@@ -83,6 +83,21 @@ def materialize(df: DataFrame, db: str = "default", path: str | None = None) ->
     return df.sparkSession.table(name)
 
 
+def stage(df: DataFrame, keys: list[str], buckets: int | None = None, db: str = "default", path: str | None = None) -> DataFrame:
+    """Write a step of a plan bucketed and sorted by its keys (a cache table) and read it back.
+
+    Steps that are stored with the same keys and number of buckets are joined and grouped by the keys as they lie on disk, without an
+    exchange. ``buckets`` defaults to the session's shuffle partitions. All rows of a key lie in one bucket, so keys should have few rows
+    each, as the steps of a cohort have per person.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{db}.{CACHE_PREFIX}{uuid.uuid4().hex}"
+    writer = df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_table(spark: SparkSession, name: str) -> bool:
     """Drop a table; False if there was none."""
     if not spark.catalog.tableExists(name):
