@@ -9,7 +9,7 @@ from cohortry.operators import concepts as K
 from cohortry.plans.catalog.shared import day
 from cohortry.plans.registry import query
 from cohortry.sources import extract as E
-from cohortry.sources import io
+from cohortry.sources import io, specs
 
 
 @query("scan_date_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-07-01'")
@@ -121,6 +121,18 @@ def _(t):
     return r.select("person", "o_orderkey", day("o_orderdate").alias("d"), "age_at_order")
 
 
+@query("extract_visits", """
+    SELECT o_custkey AS pat_id, 1 AS instance, o_orderkey AS pat_enc_csn_id, strftime(o_orderdate,'%Y-%m-%d') AS contact_date, o_orderstatus AS enc_type, l_linenumber AS adt_event
+    FROM customer JOIN orders ON o_custkey=c_custkey LEFT JOIN lineitem ON l_orderkey=o_orderkey WHERE c_mktsegment='BUILDING'""")
+def _(t):
+    """The usual spec with its default omissions: acuity and bed are left out."""
+    visit = t.orders.select(F.col("o_custkey").alias("pat_id"), F.lit(1).alias("instance"), F.col("o_orderkey").alias("pat_enc_csn_id"), day("o_orderdate").alias("contact_date"), F.col("o_orderstatus").alias("enc_type"), F.col("o_orderpriority").alias("acuity"))
+    moves = t.lineitem.join(visit.select("pat_id", "instance", "pat_enc_csn_id"), F.col("l_orderkey") == F.col("pat_enc_csn_id"))
+    moves = moves.select("pat_id", "instance", "pat_enc_csn_id", F.col("l_linenumber").alias("adt_event"), F.col("l_suppkey").alias("adt_bed_id"))
+    people = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("pat_id"), F.lit(1).alias("instance"))
+    return E.extract(people, specs.encounters({"encounter": visit, "adtevent": moves}), join="adtevent", where="pat_enc_csn_id IS NOT NULL")
+
+
 @query("extract_encounter_details", """
     SELECT c_custkey AS person, c_mktsegment, o_orderkey, l_linenumber, l_partkey FROM customer LEFT JOIN orders ON o_custkey=c_custkey LEFT JOIN lineitem ON l_orderkey=o_orderkey""")
 def _(t):

@@ -128,3 +128,12 @@ def test_flagged_facts_keep_the_cohort(frame, rows):
     ids = frame([("d1", "a"), ("d3", "b")], "dx string, label string")
     r = E.flagged_facts(cohort, facts, ["k"], ids, ["dx"], ["a", "b"], "status <> 'Deleted'", "ids")
     assert rows(r.select("k", "dx", "a", "b")) == [("p", "d1", True, False), ("q", None, None, None)]
+
+
+def test_specs_leave_columns_out_by_default(frame):
+    tables = {"encounter": frame([("a", 1, "e", "high", "x")], "pat_id string, instance int, pat_enc_csn_id string, acuity string, kind string"), "notes": frame([("a", 1, "e", "u", "n")], "pat_id string, instance int, pat_enc_csn_id string, author_user_id string, note string")}
+    seen = lambda spec: set(E.extract(None, spec, join="notes").columns) - {"pat_id", "instance", "pat_enc_csn_id"}
+    assert seen(specs.encounters(tables)) == {"kind", "note"}
+    assert seen(specs.encounters(tables, {})) == {"kind", "note", "acuity", "author_user_id"}
+    assert seen(specs.encounters(tables, {"notes": ["note"]})) == {"kind", "acuity", "author_user_id"}
+    assert specs.encounters(tables).default_omit(["notes"])[-3:] == ["author_provider_type", "author_user_id", "entry_user_id"]
