@@ -1,5 +1,7 @@
 """Window totals by an as-of merge: running count at the last day of a window minus running count before its first.
 
+Flags need one read only: a window holds a flagged day if the last one up to its end is not before its first day.
+
 Facts are reduced to one row per key and day, window ends to their distinct days, and both are merged in one scan along the days. A key's
 rows in that scan are bounded by the calendar, however many records or windows it has, and no record is copied into cells. The windows
 then read the running totals of their two ends by equality.
@@ -31,6 +33,16 @@ def _position(day: Column) -> Column:
     return F.unix_date(day) + ORIGIN
 
 
+def scanned_at(daily: DataFrame, probes: DataFrame, keys: list[str], at: str, measures: list[str], descending: bool = False, fn: str = "sum") -> DataFrame:
+    """``running_at`` for frames that have each place at most once: they are scanned as they are, a place's own row before its probe."""
+    fold = {"sum": F.sum, "max": F.max}[fn]
+    nothing = [F.lit(0 if fn == "sum" else None).cast("long").alias(m) for m in measures]
+    own = daily.select(*keys, at, *[F.col(m).cast("long").alias(m) for m in measures], F.lit(0).alias("__probe"))
+    both = own.union(probes.select(*keys, at, *nothing, F.lit(1).alias("__probe")))
+    along = Window.partitionBy(*keys).orderBy(F.col(at).desc() if descending else F.col(at).asc(), "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    return both.select(*keys, at, "__probe", *[fold(m).over(along).alias(m) for m in measures]).where("__probe = 1").drop("__probe")
+
+
 def running_at(daily: DataFrame, probes: DataFrame, keys: list[str], at: str, measures: list[str], descending: bool = False) -> DataFrame:
     """(keys, at, measures): running sums of ``daily`` along ``at`` up to and including each distinct probe.
 
@@ -72,10 +84,17 @@ def window_totals(cohort: DataFrame, daily: DataFrame, keys: list[str], lo: Colu
 
 
 def window_flags(cohort: DataFrame, daily: DataFrame, keys: list[str], lo: Column, hi: Column, flags: dict[str, str]) -> DataFrame:
-    """Cohort rows with 1/0: whether the 0/1 column of ``daily`` is 1 on any day of lo … hi. ``flags`` maps a column to its name."""
-    names = {m: f"__n{i}" for i, m in enumerate(flags)}
-    counted = window_totals(cohort, daily, keys, lo, hi, names)
-    return counted.select(*cohort.columns, *[(F.col(names[m]) > 0).cast("int").alias(n) for m, n in flags.items()])
+    """Cohort rows with 1/0: whether the 0/1 column of ``daily`` is 1 on any day of lo … hi. ``flags`` maps a column to its name.
+
+    ``daily`` has one row per keys and ``__day``. Only the ends of the windows are merged with the days, and the windows read once.
+    """
+    windows = cohort.withColumns({"__lo": F.to_date(lo), "__hi": F.to_date(hi)})
+    ends = windows.where("__lo <= __hi").select(*keys, F.col("__hi").alias("__day")).distinct()
+    marked = daily.where(F.col("__day").isNotNull()).select(*keys, "__day", *[F.when(F.col(m) > 0, F.unix_date("__day")).alias(m) for m in flags])
+    last = {m: f"__last_{m}" for m in flags}
+    read = _read(windows, scanned_at(marked, ends, keys, "__day", list(flags), fn="max"), keys, F.col("__hi"), last)
+    found = {n: (F.col("__lo") <= F.col("__hi")) & (F.col(last[m]) >= F.unix_date("__lo")) for m, n in flags.items()}
+    return read.select(*cohort.columns, *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in found.items()])
 
 
 def _stretches(first: Column, last: Column, levels: int = LEVELS) -> Column:

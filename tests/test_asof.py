@@ -80,3 +80,10 @@ def test_no_copies_into_cells(sample):
     facts, cohort, _, _ = sample
     plan = T.flag_in_window(cohort, facts.withColumn("f", F.lit(1)), ["p"], "t", F.col("lo"), F.col("hi"), ["f"])._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan and "Expand" not in plan
+
+
+def test_flags_take_one_read(sample):
+    """The windows are joined once, to the last flagged day up to their end, and nothing is combined again after the days."""
+    facts, cohort, _, _ = sample
+    plan = T.flag_in_window(cohort, facts.withColumn("f", F.lit(1)), ["p"], "t", F.col("lo"), F.col("hi"), ["f"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 2
