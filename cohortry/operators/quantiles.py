@@ -4,7 +4,8 @@ One aggregate gives each group its number of values and, for each wanted quantil
 sketch, whose rank error is bounded. A second pass counts what lies below the bracket and, value by value, what lies inside. Running
 counts within the bracket then hold the wanted ranks. A bracket is ``2 * MARGIN`` of its group wide, besides repeated values, so neither
 a shuffle nor a task sees most of a large group. Groups of at most ``SMALL`` values are their own bracket, since there the error could
-exceed the distance of neighbouring ranks.
+exceed the distance of neighbouring ranks. The sketches of groups are written before they meet the values, so that the engine knows their
+size: few of them are broadcast, and no group's values are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators.scan import join_same_keys
+from cohortry.session import written
 
 ACCURACY = 10_000
 SMALL = 10_000
@@ -34,7 +36,7 @@ def bracket_counts(df: DataFrame, by: list[str], cols: list[str], probs: list[fl
 
     sketches = values.groupBy(*by).agg(F.struct(*[sketch(i).alias(f"c{i}") for i in range(len(cols))]).alias("__s"))
     # one row for the whole table is a scalar; the sketches of groups are joined by their keys
-    both = join_same_keys(values, sketches, by) if by else values.withColumn("__s", sketches.scalar())
+    both = join_same_keys(values, written(sketches), by) if by else values.withColumn("__s", sketches.scalar())
 
     def places(i: int) -> list[Column]:
         v, n, q = F.col(f"__v{i}"), F.col(f"__s.c{i}.n"), F.col(f"__s.c{i}.q")

@@ -54,3 +54,10 @@ def test_whole_table(spark, rows):
 def test_only_the_bracket_is_ranked(spark):
     df = spark.range(200_000).select(F.rand(3).alias("v"))
     assert bracket_counts(df, [], ["v"], [0.5, 0.9]).count() < 2 * 0.001 * 200_000
+
+
+def test_values_of_a_group_are_not_shuffled_to_its_sketch(spark):
+    """The sketches are written first, so their size is known and they are broadcast when few."""
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = bracket_counts(df, ["g"], ["v"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
