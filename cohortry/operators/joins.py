@@ -47,7 +47,7 @@ def _position(col: str, kind: str):
 
 def range_join(
     points: DataFrame, intervals: DataFrame, on: list[str], t: str, lo: str, hi: str, bucket: int = 50, how: str = "inner",
-    long_spans: bool = False,
+    long_spans: bool = False, ask: bool = False,
 ) -> DataFrame:
     """Join points to intervals with ``lo <= t <= hi`` and equal keys.
 
@@ -56,7 +56,9 @@ def range_join(
     meets once. ``how`` may be inner, left_semi or left_anti over the points.
 
     With ``long_spans`` intervals of more than 64 cells (open ends, sentinel dates) use cells 64 times as wide, and each point is
-    offered on both grids. An inner or semi join then costs twice the points instead of thousands of copies of an interval.
+    offered on both grids. An inner or semi join then costs twice the points instead of thousands of copies of an interval. With ``ask``
+    an inner join looks up first which of the two grids the intervals use, and a point is offered on those only; that reads the
+    intervals once more, so it is for intervals that are cheap to compute.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError("how must be inner, left_semi or left_anti")
@@ -79,7 +81,9 @@ def range_join(
         return hit.union(range_join(rest, valid.where(wide), on, t, lo, hi, bucket * WIDE, how))
     if long_spans:
         width = F.when((stop - start) / bucket > WIDE, bucket * WIDE).otherwise(bucket)
-        p = points.withColumn("__width", F.explode(F.array(F.lit(bucket), F.lit(bucket * WIDE))))
+        both = F.array(F.lit(bucket), F.lit(bucket * WIDE))
+        used = valid.agg(F.collect_set(width)).scalar() if ask else both
+        p = points.withColumn("__width", F.explode(F.array_intersect(both, used)))
         i = valid.withColumn("__iwidth", width)
         p, i = p.withColumn("__cell", F.floor(at / F.col("__width"))), i.withColumn("__icell", F.explode(F.sequence(F.floor(start / F.col("__iwidth")), F.floor(stop / F.col("__iwidth")))))
     else:

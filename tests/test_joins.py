@@ -96,3 +96,20 @@ def test_set_operations_and_order(frame, rows):
     assert rows(O.union_distinct(a, b, keys=["k"])) == [(1, "p"), (2, "q"), (3, "s")]
     ids = frame([(i,) for i in range(50)], "k int")
     assert [r.k for r in O.shuffle(ids, "k", 7).collect()] == [r.k for r in O.shuffle(ids.repartition(5), "k", 7).collect()] != list(range(50))
+
+
+@pytest.mark.parametrize("bucket", [1, 7])
+@pytest.mark.parametrize("lengths", [(0, 5), (900, 2_000_000), (3, 900)])
+def test_range_join_asks_for_the_grids_in_use(frame, rows, bucket, lengths):
+    p = frame([("a", i, i * 31) for i in range(60)], "k string, pid int, t int")
+    s = frame([("a", i, i * 67, i * 67 + lengths[i % 2]) for i in range(20)], "k string, sid int, lo int, hi int")
+    got = J.range_join(p, s, ["k"], "t", "lo", "hi", bucket, long_spans=True, ask=True).select("k", "pid", "sid")
+    assert rows(got) == rows(J.join(p, s, ["k"], "inner", "a.t BETWEEN b.lo AND b.hi").select("k", "pid", "sid"))
+    none = J.range_join(p, s.limit(0), ["k"], "t", "lo", "hi", bucket, long_spans=True, ask=True)
+    assert none.count() == 0
+
+
+def test_points_are_offered_once_where_no_interval_is_wide(frame):
+    p, s = frame([("a", 3)], "k string, t int"), frame([("a", 0, 9)], "k string, lo int, hi int")
+    plan = J.range_join(p, s, ["k"], "t", "lo", "hi", 5, long_spans=True, ask=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and "[5,320]" in plan
