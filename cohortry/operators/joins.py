@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.scan import join_same_keys
@@ -103,6 +103,37 @@ def range_join(
     return p.join(i, cond, how).drop("__cell", "__width")
 
 
+def meeting_spans(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[Column, Column], b_span: tuple[Column, Column], bucket: int) -> DataFrame:
+    """Pairs of rows with equal keys whose spans of days (first, last) meet, each once, by one join on (keys, cell).
+
+    Both sides are copied into the cells that they cover; a pair is taken in the cell of the later start. Pairs with a span of more
+    than 64 cells use cells 64 times as wide: every row of ``a`` is offered there, rows of ``b`` only if ``a`` has such spans or they are
+    such themselves. That is looked up, so ``a`` should be cheap to compute.
+    """
+    clash = [c for c in a.columns if c in b.columns and c not in on]
+    if clash:
+        raise ValueError(f"columns on both sides besides the keys: {clash}")
+    (a0, a1), (b0, b1) = [tuple(F.unix_date(c) for c in span) for span in (a_span, b_span)]
+
+    def cells(first, last, width: int):
+        return F.transform(F.sequence(F.floor(first / width), F.floor(last / width)), lambda c: F.struct(F.lit(width).alias("width"), c.alias("cell")))
+
+    def offered(df: DataFrame, first, last, always, name: str) -> DataFrame:
+        wide = (last - first) / bucket > WIDE
+        none = F.array().cast("array<struct<width:int,cell:bigint>>")
+        own = F.concat(F.when(wide, none).otherwise(cells(first, last, bucket)), F.when(wide | always, cells(first, last, bucket * WIDE)).otherwise(none))
+        return df.where(first <= last).withColumns({f"{name}_wide": wide, name: F.explode(own)})
+
+    any_wide = F.coalesce(a.where(a0 <= a1).agg(F.max((a1 - a0) / bucket > WIDE)).scalar(), F.lit(False))
+    names = {k: f"__i_{k}" for k in on}
+    left = offered(a, a0, a1, F.lit(True), "__a").withColumns({"__width": F.col("__a.width"), "__cell": F.col("__a.cell")}).drop("__a")
+    right = offered(b, b0, b1, any_wide, "__b").withColumns({"__iwidth": F.col("__b.width"), "__icell": F.col("__b.cell")}).drop("__b").withColumnsRenamed(names)
+    meet = (a0 <= b1) & (b0 <= a1) & (F.col("__cell") == F.floor(F.greatest(a0, b0) / F.col("__width")))
+    same_grid = (F.col("__width") == bucket) | F.col("__a_wide") | F.col("__b_wide")
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(r) for k, r in names.items()], (F.col("__width") == F.col("__iwidth")) & (F.col("__cell") == F.col("__icell")))
+    return left.join(right, same & same_grid & meet).drop("__width", "__iwidth", "__cell", "__icell", "__a_wide", "__b_wide", *names.values())
+
+
 def link_children(df: DataFrame, child_key: str, parent_key: str, keep: list[str], prefix: str = "parent_") -> DataFrame:
     """Self join of child rows to their parent row on ``child.parent_key = parent.child_key``."""
     parent = df.select(F.col(child_key).alias("__pk"), *[F.col(c).alias(f"{prefix}{c}") for c in keep])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.asof import distinct_in_windows, window_flags
-from cohortry.operators.joins import range_join
+from cohortry.operators.joins import meeting_spans, range_join
 
 #: A window of 45 to 120 days is copied into 1.2 to 1.6 cells of this length.
 CELL_DAYS = 200
@@ -99,29 +99,17 @@ def overlap_or_near(
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], bucket: int = CELL_DAYS) -> DataFrame:
-    """Pairs of rows with equal keys whose day spans overlap, each once.
-
-    Two spans overlap when one starts inside the other: either a starts within b, or b starts within a after a's first day.
-    Both halves are point-in-interval joins, so open-ended spans are no problem.
-    """
-    left = a.withColumns({"__a0": F.to_date(a_span[0]), "__a1": F.to_date(a_span[1])}).where("__a0 <= __a1")
-    right = b.withColumns({"__b0": F.to_date(b_span[0]), "__b1": F.to_date(b_span[1])}).where("__b0 <= __b1")
-    starts_in_b = range_join(left, right, on, "__a0", "__b0", "__b1", bucket, long_spans=True)
-    later = left.withColumn("__next", F.date_add("__a0", 1))
-    starts_in_a = range_join(right, later, on, "__b0", "__next", "__a1", bucket, long_spans=True)
-    both = starts_in_b.unionByName(starts_in_a.drop("__next"))
-    return both.drop("__a0", "__a1", "__b0", "__b1")
+    """Pairs of rows with equal keys whose day spans overlap, each once, by one join. ``a`` is the side that is cheap to compute."""
+    days = [F.to_date(c) for c in (*a_span, *b_span)]
+    return meeting_spans(a, b, on, (days[0], days[1]), (days[2], days[3]), bucket)
 
 
 def clipped_days(cohort: DataFrame, stays: DataFrame, keys: list[str], index: str, end: str, start: str = "start", stop: str = "stop") -> DataFrame:
     """Per (keys, index, end): inclusive days of stays from the index on that start before ``end``, with first start and last stop."""
+    # an index on or after the end counts as a day: the stay must begin before the end and last until the index
     spans = cohort.select(*keys, index, end).distinct().withColumn("__until", F.date_sub(F.to_date(end), 1))
-    pairs = overlap_join(spans, stays, keys, (index, "__until"), (start, stop)).drop("__until")
-    # an index on or after the end: the stay must begin before the end and last until the index
-    late = spans.where(F.to_date(index) > F.col("__until")).withColumn("__at", F.to_date(index))
-    around = stays.withColumns({"__b0": F.to_date(start), "__b1": F.to_date(stop)})
-    around = range_join(late, around, keys, "__at", "__b0", "__b1", CELL_DAYS, long_spans=True).where("__b0 <= __until")
-    pairs = pairs.unionByName(around.drop("__until", "__at", "__b0", "__b1"))
+    spans = spans.withColumn("__last", F.greatest(F.to_date(index), "__until"))
+    pairs = overlap_join(spans, stays, keys, (index, "__last"), (start, stop)).where(F.to_date(start) <= F.col("__until"))
     begin = F.greatest(F.to_date(start), F.to_date(index))
     return pairs.groupBy(*keys, index, end).agg(
         F.sum(F.datediff(F.to_date(stop), begin) + 1).alias("days"), F.min(begin).alias("first_start"), F.max(F.to_date(stop)).alias("last_stop")

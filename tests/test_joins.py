@@ -113,3 +113,14 @@ def test_points_are_offered_once_where_no_interval_is_wide(frame):
     p, s = frame([("a", 3)], "k string, t int"), frame([("a", 0, 9)], "k string, lo int, hi int")
     plan = J.range_join(p, s, ["k"], "t", "lo", "hi", 5, long_spans=True, ask=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "scalar-subquery" in plan and "[5,320]" in plan
+
+
+def test_overlap_join_is_one_join_for_short_and_long_spans(frame, rows):
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    spans = lambda step, lengths: [("a", i, day(i * step), day(i * step + lengths[i % len(lengths)])) for i in range(24)] + [("a", 99, day(9), day(3)), (None, 98, day(0), day(9)), ("a", 97, day(1), None)]
+    for one, other in (((0, 9), (0, 30)), ((4, 900), (1, 8)), ((2, 8), (3, 2_000_000)), ((700_000, 5), (900, 12))):
+        left, right = frame(spans(11, one), "k string, i int, x date, y date"), frame(spans(17, other), "k string, j int, u date, v date")
+        got = T.overlap_join(left, right, ["k"], ("x", "y"), ("u", "v"), 5)
+        want = J.join(left, right, ["k"], "inner", "a.x <= b.v AND b.u <= a.y AND a.x <= a.y AND b.u <= b.v")
+        assert rows(got.select("k", "i", "j")) == rows(want.select("k", "i", "j"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
