@@ -89,11 +89,9 @@ def overlap_or_near(
 ) -> DataFrame:
     """Stays that contain the index date, or start within (index − before, index + after), with day offsets."""
     i, s, e = F.to_date(index), F.to_date(start), F.to_date(end)
-    spans = stays.withColumns({"__lo": F.date_sub(s, after), "__hi": F.greatest(e, F.date_add(s, before))})
-    points = cohort.withColumn("__day", i)
-    near = range_join(points, spans, keys, "__day", "__lo", "__hi", CELL_DAYS, long_spans=True)
+    near = meeting_spans(cohort, stays, keys, (i, i), (F.date_sub(s, after), F.greatest(e, F.date_add(s, before))), CELL_DAYS)
     hit = ((F.col(end) > F.col(index)) & (F.col(index) >= F.col(start))) | ((s > F.date_sub(i, before)) & (s < F.date_add(i, after)))
-    return near.where(hit).drop("__day", "__lo", "__hi").withColumns(
+    return near.where(hit).withColumns(
         {"start_offset": F.datediff(start, index), "end_offset": F.datediff(end, index)}
     )
 

@@ -133,3 +133,10 @@ def test_staged_applies_steps_in_order(frame, rows):
     df = frame([(1,)], "v int")
     steps = [lambda d: d.withColumn("v", F.col("v") + 1), lambda d: d.withColumn("v", F.col("v") * 10), lambda d: d.withColumn("v", F.col("v") - 1)]
     assert rows(C.staged(df, steps, checkpoint_every=2)) == [(19,)]
+
+
+def test_stays_near_an_index_are_copied_without_bounds_of_their_own(cohort, frame):
+    """What is shuffled of a stay are its own columns and the cell; the widened bounds are not written beside them."""
+    stays = frame([("a", D(80), D(105))], "p string, start date, stop date")
+    plan = T.overlap_or_near(cohort, stays, ["p"], "i", "start", "stop")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__lo" not in plan and "__hi" not in plan and plan.count("Join ") == 1
