@@ -16,11 +16,15 @@ def exposure_profile(
 ) -> DataFrame:
     """Per anchored person: measure sums per index-relative window and a 0/1 status per concept label.
 
-    Facts are reduced to (person, day, item) before the window join, so repeated records cost no shuffle volume.
+    One window join and one aggregate give both: the label flags are further measures of the windows, and a status is their greatest.
+    Facts go to their window cell as they are; they need no sums of their own before it.
     """
-    daily = facts.groupBy(*keys, t, item).agg(F.sum(measure).alias(measure))
     window = (F.date_add(F.col(index), span[0]), F.date_add(F.col(index), span[1]))
-    near = add_flags(in_windows(anchors, daily, keys, t, [window]), label_ids, [item], labels)
-    sums = aggregate_custom(near, keys, {measure: "sum"}, t, index, bounds, layout="wide")
-    status = near.groupBy(*keys).agg(*[F.max(F.col(x).cast("int")).alias(x) for x in labels])
-    return anchors.join(sums, keys, "left").join(status, keys, "left").na.fill(0, labels)
+    named = facts.select(*keys, t, item, measure)
+    near = add_flags(in_windows(anchors, named, keys, t, [window]), label_ids, [item], labels)
+    marks = {f"__f{i}": F.col(x).cast("int") for i, x in enumerate(labels)}
+    wide = aggregate_custom(near.withColumns(marks), keys, {measure: "sum", **dict.fromkeys(marks, "max")}, t, index, bounds, layout="wide")
+    parts = range(len(bounds or [0]) + 1)
+    status = [F.greatest(*[F.col(f"{m}_max_{b}") for b in parts]).alias(x) for m, x in zip(marks, labels, strict=True)]
+    found = wide.select(*keys, *[f"{measure}_sum_{b}" for b in parts], *status)
+    return anchors.join(found, keys, "left").na.fill(0, labels)

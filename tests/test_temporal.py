@@ -140,3 +140,14 @@ def test_stays_near_an_index_are_copied_without_bounds_of_their_own(cohort, fram
     stays = frame([("a", D(80), D(105))], "p string, start date, stop date")
     plan = T.overlap_or_near(cohort, stays, ["p"], "i", "start", "stop")._jdf.queryExecution().optimizedPlan().toString()
     assert "__lo" not in plan and "__hi" not in plan and plan.count("Join ") == 1
+
+
+def test_exposure_profile_joins_the_window_once(cohort, frame, rows):
+    from cohortry.plans.exposure import exposure_profile
+
+    facts = frame([("a", D(99), 1, 2.0), ("a", D(99), 1, 3.0), ("a", D(101), 2, 5.0), ("a", D(300), 2, 7.0), ("b", D(130), 3, 1.0)], "p string, t date, item int, v double")
+    ids = frame([(1, "x"), (2, "y")], "item int, label string")
+    anchors = cohort.where("k in (1, 3, 4)").select("p", "i")
+    r = exposure_profile(anchors, facts, ["p"], "i", "t", "item", "v", ids, ["x", "y"], (-14, 60), [0, 14])
+    assert rows(r.select("p", "v_sum_0", "v_sum_1", "v_sum_2", "x", "y")) == [("a", 5.0, 5.0, None, 1, 1), ("b", None, None, 1.0, 0, 0), ("c", None, None, None, 0, 0)]
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
