@@ -69,13 +69,13 @@ def _read(windows: DataFrame, table: DataFrame, keys: list[str], at: Column, nam
 
 
 def window_totals(cohort: DataFrame, daily: DataFrame, keys: list[str], lo: Column, hi: Column, totals: dict[str, str]) -> DataFrame:
-    """Cohort rows with the sums of whole-number measures of ``daily`` (keys, ``__day``, …) over the days lo … hi; 0 without any.
+    """Cohort rows with the sums of whole-number measures of ``daily`` (keys, ``__day``, …; one row per day) over the days lo … hi; 0 without any.
 
     ``totals`` maps a measure to the name of its sum. Windows that are empty or open (null) have 0.
     """
     windows = cohort.withColumns({"__lo": F.to_date(lo), "__hi": F.to_date(hi)})
     valid = windows.where("__lo <= __hi")
-    running = running_at(daily.where(F.col("__day").isNotNull()), _ends(valid, keys), keys, "__day", list(totals))
+    running = scanned_at(daily.where(F.col("__day").isNotNull()), _ends(valid, keys), keys, "__day", list(totals))
     read = _read(windows, running, keys, F.col("__hi"), {m: f"__h_{m}" for m in totals})
     read = _read(read, running, keys, F.date_sub("__lo", 1), {m: f"__l_{m}" for m in totals})
     inside = F.coalesce(F.col("__lo") <= F.col("__hi"), F.lit(False))

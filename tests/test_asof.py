@@ -87,3 +87,11 @@ def test_flags_take_one_read(sample):
     facts, cohort, _, _ = sample
     plan = T.flag_in_window(cohort, facts.withColumn("f", F.lit(1)), ["p"], "t", F.col("lo"), F.col("hi"), ["f"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 2
+
+
+def test_totals_scan_the_days_as_they_are(sample):
+    """Days and window ends are unique already: the scan has no aggregate of its own over their union."""
+    facts, cohort, _, _ = sample
+    daily = facts.groupBy("p", F.col("t").alias("__day")).agg(F.count(F.lit(1)).alias("n"))
+    plan = asof.window_totals(cohort, daily, ["p"], F.col("lo"), F.col("hi"), {"n": "n"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Union")].split("Window")[1]
