@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, license_scan, line_dedup, neighbours, ngram_join, packing, queries, secret_scan, suffix_dedup, token_counts, toxicity, wordpieces
+from cohortry.llm import decontaminate, license_scan, line_dedup, neighbours, ngram_join, packing, queries, secret_scan, store, suffix_dedup, token_counts, toxicity, wordpieces
 from cohortry.llm.graph import components
 from cohortry.llm.store import importable, tokenizer_file
 
@@ -149,6 +149,38 @@ def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
     assert line_removals(spark, rows) == brute_lines(rows)
 
 
+def test_line_dedup_links_edited_prose_and_lines_without_spaces(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    lines = []
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(20, 60)))
+        at = rng.randrange(len(text) - 20)
+        blob = "".join(rng.choice("xyz") for _ in range(len(text) // 8))
+        lines += [text, text[:at] + "#" + text[at + 1 :], text.replace(" ", "  ", 2), text + blob, text[: len(text) // 2], text.replace(" ", "_")]
+    assert line_removals(spark, list(enumerate(lines))) == brute_lines(list(enumerate(lines)))
+
+
+def test_line_dedup_leaves_only_its_result_on_disk(spark, documents, monkeypatch):
+    monkeypatch.setattr(store, "_WRITTEN", [])
+    line_dedup.dedup_lines(documents[0], "doc_id", "text")
+    assert [path.rsplit("/", 1)[1].split("-")[0] for _, path in store._WRITTEN] == ["removed"]
+
+
+def test_line_dedup_sketches_refuse_no_similar_pair(spark):
+    rng = random.Random(15)
+    lines = []
+    for _ in range(150):
+        text = "".join(rng.choice("abcde ") for _ in range(rng.randint(7, 400)))
+        lines += [text, text[: -(-len(text) * 9 // 10)]]
+    rows = spark.createDataFrame([(a, a, line) for a, line in enumerate(lines)], "h1 long, h2 long, line string")
+    pairs = [(a, a + 1) for a in range(0, len(lines), 2)]
+    sets = [{x[j : j + 6] for j in range(max(1, len(x) - 5))} for x in lines]
+    near = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    left = line_dedup.unrefused(spark.createDataFrame(pairs, "a long, b long"), line_dedup.sketches(rows), 4, 5)
+    assert near and near <= {(r["a"], r["b"]) for r in left.collect()}
+
+
 def test_line_dedup_odd(odd, none):
     df, rows = odd
     out = line_dedup.dedup_lines(df, "doc_id", "text").collect()
