@@ -53,10 +53,12 @@ class Words:
         self.words = Rolling(data).of(starts, ends)
         self.bytes = ends - starts
         bits = np.unpackbits(self.words.view(np.uint8).reshape(-1, 8), axis=1) if len(starts) else np.zeros((0, 64), np.uint8)
-        # 16 bits may wrap; differences over windows of fewer than 2**16 words are exact all the same
-        kind = np.uint16 if longest < 1 << 16 else np.uint32
-        self.votes = np.zeros((len(starts) + 1, 64), kind)
-        np.cumsum(bits, axis=0, dtype=kind, out=self.votes[1:])
+        # Running votes, several to a 64-bit number. They may carry into each other; the difference over a window is that of whole
+        # numbers, so it holds the window's votes side by side, none of them above the window's size.
+        self.kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+        votes = bits.astype(self.kind, copy=False).view(np.uint64)
+        self.votes = np.zeros((len(starts) + 1, votes.shape[1]), np.uint64)
+        np.cumsum(votes, axis=0, out=self.votes[1:])
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and bytes of the shingle that starts at each word, across text borders too."""
@@ -73,7 +75,7 @@ class Words:
         counts[np.diff(self.before) < size] = 0
         text = np.repeat(np.arange(len(counts)), counts)
         first = self.before[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
-        ones = self.votes[first + size] - self.votes[first]
+        ones = (self.votes[first + size] - self.votes[first]).view(self.kind)
         prints = np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel() if len(first) else np.zeros(0, np.uint64)
         return text, first, prints
 

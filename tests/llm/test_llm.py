@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,19 @@ def test_decontamination(spark, documents, none, odd):
     assert decontaminate.clean(odd[0], "text", bench.limit(0), "item_id", "text").count() == len(odd[1])
 
 
+def test_running_votes_are_packed_and_exact_in_any_width():
+    rng = random.Random(21)
+    texts = pa.array([" ".join(rng.choice(["alpha", "beta", "gamma", "delta", str(rng.randrange(50))]) for _ in range(n)) for n in (700, 3, 0, 90)])
+    words = [decontaminate.Words(texts, longest) for longest in (255, 256, 1 << 16)]
+    assert words[0].votes.nbytes * 4 == words[1].votes.nbytes * 2 == words[2].votes.nbytes == 64 * 4 * len(words[0].votes)
+    for size in (1, 7, 255):
+        bits = np.unpackbits(words[0].words.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        for w in words:
+            text, first, prints = w.windows(size, 2)
+            want = [np.packbits(bits[f : f + size].sum(0) > size // 2).view(np.uint64)[0] for f in first]
+            assert len(text) > 100 and prints.tolist() == [int(x) for x in want]
+
+
 # 4 tokens
 
 
