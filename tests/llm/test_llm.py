@@ -182,6 +182,19 @@ def test_line_dedup_sketches_refuse_no_similar_pair(spark):
     assert near and near <= {(r["a"], r["b"]) for r in left.collect()}
 
 
+def test_line_dedup_sketches_refuse_different_periodic_lines(spark):
+    lines = ["And So " * 300, "Ofwhndan " * 250, "=-" * 900, "| --- " * 200]
+    sketch = line_dedup.sketches(spark.createDataFrame(list(enumerate(lines)), "h1 long, line string").withColumn("h2", F.col("h1")))
+    assert {r["h1"]: r["places"] for r in sketch.collect()} == {k: len({x[j : j + 6] for j in range(len(x) - 5)}) for k, x in enumerate(lines)}
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "a long, b long")
+    assert line_dedup.unrefused(pairs, sketch, 4, 5).count() == 0
+
+
+def test_line_dedup_keeps_one_of_bands_of_the_same_lines(spark):
+    signed = spark.createDataFrame([(1, [10, 11, 12, 13]), (2, [10, 11, 12]), (3, [12, 99])], "h1 long, keys array<long>")
+    assert sorted(tuple(r) for r in line_dedup.shared_keys(signed).collect()) == [(10, 1, 1), (10, 1, 2), (12, 1, 1), (12, 1, 2), (12, 1, 3)]
+
+
 def test_line_dedup_odd(odd, none):
     df, rows = odd
     out = line_dedup.dedup_lines(df, "doc_id", "text").collect()
