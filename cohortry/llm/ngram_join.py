@@ -6,7 +6,8 @@ reach similarity with its members. Within a band the hash space is cut in D + 1
 at least one whole tile, so equal tile hashes find every pair. For wide shingles and low similarities tiles can be single shingles, of
 which similar sets share one among their first in hash order. Candidates of a tile are first the pairs of each set with the tile's
 smallest set; the sets that are not joined by those meet all others of another component in square blocks. Before the exact intersection
-of sorted arrays, hashed bitmaps bound the overlap from above: each bit that only one set has is a shingle the other lacks.
+of sorted arrays, hashed bitmaps bound the overlap from above: each bit that only one set has is a shingle the other lacks. Large sets
+have a second, wider one, so that few pairs carry their shingles. Tables and shuffle files of a step are deleted as soon as it has ended.
 
 A null text is empty; texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle are one
 shingle. Repeated rows and ids are joined as equal texts and labelled with the smallest id, which may be null only if all of them are.
@@ -14,6 +15,7 @@ shingle. Repeated rows and ids are joined as equal texts and labelled with the s
 
 from __future__ import annotations
 
+from functools import reduce
 from math import floor
 
 import numpy as np
@@ -23,11 +25,16 @@ from pyspark.sql import functions as F
 
 from .bytewords import ASCII_SPACE, LOWER, Rolling, mix, ranges, slices, text_bytes, word_spans
 from .graph import components
-from .store import pick, saved
+from .store import dropped, pick, saved, scratch, shuffles_freed
 
 BAND = 1.5
 BITS = 2048
+#: Bits of the second bitmap, which sets of more than ``LARGE`` shingles have.
+WIDE = 8192
+LARGE = 256
 BLOCK = 512
+#: Shares of the tiles that are counted one after the other.
+SHARES = 4
 PAIR = "a long, b long"
 LINK = "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>"
 
@@ -140,9 +147,17 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
             bits = np.zeros((n, BITS), bool)
             bits[np.repeat(np.arange(n), np.diff(offsets)), (hashes & np.uint64(BITS - 1)).astype(np.int64)] = True
             bitmap = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.diff(offsets).astype(np.int64)), bitmap, lists(hashes, offsets)], names=["class", "n", "bitmap", "shingles"])
+            wide = pa.array([wide_bitmap(hashes[a:z]) if z - a > LARGE else None for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            columns = [batch.column("class"), pa.array(np.diff(offsets).astype(np.int64)), bitmap, wide, lists(hashes, offsets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "bitmap", "wide", "shingles"])
 
-    return texts.select("class", "text").mapInArrow(run, "class struct<h1: long, h2: long>, n long, bitmap binary, shingles array<long>")
+    return texts.select("class", "text").mapInArrow(run, "class struct<h1: long, h2: long>, n long, bitmap binary, wide binary, shingles array<long>")
+
+
+def wide_bitmap(hashes: np.ndarray) -> bytes:
+    bits = np.zeros(WIDE, bool)
+    bits[((hashes >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 def least_overlap(a, b, top: int, bottom: int):
@@ -155,25 +170,28 @@ def most_common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
     return np.minimum(na - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
 
 
-def bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def bitmaps(column: pa.Array, bits: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bits // 64)
 
 
 def side(sets: DataFrame, p: str, *columns: str) -> DataFrame:
-    names = {"n": "n", "bitmap": "bits", "shingles": "h", "class": "class"}
+    names = {"n": "n", "bitmap": "bits", "wide": "bits", "shingles": "h", "class": "class"}
     return sets.select(F.col("class.h1").alias(p), *[F.col(c).alias(p + names[c]) for c in columns])
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps do not rule the similarity out."""
+def bounded(pairs: DataFrame, sets: DataFrame, top: int, bottom: int, column: str = "bitmap", bits: int = BITS) -> DataFrame:
+    """The pairs (a, b) whose bitmaps, if both have one, do not rule the similarity out."""
 
     def bound(batches):
         for batch in batches:
+            both = pa.compute.and_(batch.column("abits").is_valid(), batch.column("bbits").is_valid())
+            yield batch.select(["a", "b"]).filter(pa.compute.invert(both))
+            batch = batch.filter(both)
             na, nb = (batch.column(c).to_numpy() for c in ("an", "bn"))
-            most = most_common(bitmaps(batch.column("abits")), na, bitmaps(batch.column("bbits")), nb)
+            most = most_common(bitmaps(batch.column("abits"), bits), na, bitmaps(batch.column("bbits"), bits), nb)
             yield batch.select(["a", "b"]).filter(pa.array(most >= least_overlap(na, nb, top, bottom)))
 
-    both = pairs.join(side(sets, "a", "n", "bitmap"), "a").join(side(sets, "b", "n", "bitmap"), "b")
+    both = pairs.join(side(sets, "a", "n", column), "a").join(side(sets, "b", "n", column), "b")
     return both.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(bound, PAIR)
 
 
@@ -220,32 +238,57 @@ def block_pairs(open_rows: DataFrame, top: int, bottom: int) -> DataFrame:
     return rows.groupBy("tile", "i", "j").applyInArrow(cross, PAIR)
 
 
+def shared_tiles(one: DataFrame) -> DataFrame:
+    """tile, lead, members and c of the classes in every tile that holds several, from (c, tiles); in shares, so that only one share's
+    shuffle files lie on disk."""
+    parts = []
+    for k in range(SHARES):
+        tiles = one.select("c", F.explode("tiles").alias("tile")).where(F.pmod("tile", F.lit(SHARES)) == k)
+        shared = tiles.groupBy("tile").agg(F.min("c").alias("lead"), F.max("c").alias("other"), F.count(F.lit(1)).alias("members"))
+        shared = saved(shared.where("lead <> other").select("tile", "lead", "members"), "shared")
+        parts.append(saved(tiles.join(shared, "tile"), "members"))
+        dropped(shared)
+    return reduce(DataFrame.union, parts)
+
+
 def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3, top: int = 90, bottom: int = 100, by_prefix: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links (verified links of its set with other sets that were needed).
 
     ``by_prefix`` takes single shingles as tiles: fewer rows where the similarity is low and shingles are wide, and so rarely common.
     Also the text key (t1, t2) and the component's own key, which tell texts of equal ids apart.
     """
+    with scratch() as spare, shuffles_freed(docs.sparkSession):
+        return spare(saved(_joined(docs, id_col, text_col, width, top, bottom, by_prefix), "joined"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, top: int, bottom: int, by_prefix: bool) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", text).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
     described = saved(describe(rows, width, top, bottom, by_prefix), "described")
-    classes = described.where("class is not null")
+    classes, named_rows = described.where("class is not null"), saved(described.drop("tiles"), "documents")
     one = classes.groupBy("class").agg(F.min("id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("text_key"), F.first("tiles").alias("tiles"))
     one = saved(one, "classes")
+    dropped(described)
     # In tiles a class goes by the first half of its hash: longs are combined before the shuffle and take half the room. Classes that
     # share it are fetched together below, and links join whole classes.
-    tiles = one.select(F.col("class.h1").alias("c"), F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("c").alias("lead"), F.max("c").alias("other"), F.count(F.lit(1)).alias("members"))
-    members = saved(tiles.join(shared.where("lead <> other").select("tile", "lead", "members"), "tile"), "members")
+    members = shared_tiles(one.select(F.col("class.h1").alias("c"), "tiles"))
+    whole, one = one, saved(one.drop("tiles"), "classes")
+    dropped(whole)
 
     wanted = members.select("c").distinct().join(one.select(F.col("class.h1").alias("c"), "class", "text_key"), "c")
     wanted = wanted.select("class", F.col("text_key.t1").alias("t1"), F.col("text_key.t2").alias("t2"))
     texts = rows.select("t1", "t2", "text").join(wanted, ["t1", "t2"])
-    # equal texts give equal sets: one row of each is enough, and min() keeps it without gathering copies
-    sets = saved(sets_of(texts, width).groupBy("class").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles")), "sets")
+    # equal texts give equal sets: one row of each is enough, and first() keeps it without gathering copies; texts are smaller than sets
+    held = saved(texts.groupBy("class").agg(F.first("text").alias("text")), "texts", "zstd")
+    sets = saved(sets_of(held, width), "sets")
+    dropped(held)
 
     pairs = members.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
-    links = saved(linked(saved(bounded(pairs, sets, top, bottom), "possible"), sets, top, bottom), "links")
+    narrow = saved(bounded(pairs, sets, top, bottom), "possible")
+    possible = saved(bounded(narrow, sets, top, bottom, "wide", WIDE), "possible")
+    dropped(narrow)
+    links = saved(linked(possible, sets, top, bottom), "links")
+    dropped(possible)
     labels = components(links)
 
     placed = members.join(labels.select(F.col("node.h1").alias("c"), F.col("component.h1").alias("component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
@@ -255,20 +298,22 @@ def join_documents(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
     open_rows = placed.join(undecided, "tile").join(sets.select(F.col("class.h1").alias("c"), "n", "bitmap"), "c")
     more = block_pairs(open_rows.select("tile", "c", "component", "members", "n", "bitmap"), top, bottom)
     more = saved(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
-    links = saved(links.union(linked(more.join(links.select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")), ["a", "b"], "left_anti"), sets, top, bottom)), "links")
+    more = more.join(links.select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")), ["a", "b"], "left_anti")
+    more = saved(bounded(more, sets, top, bottom, "wide", WIDE), "possible")
+    links = saved(links.union(linked(more, sets, top, bottom)), "links")
     labels = components(links)
 
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     named = one.select("class", "first_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     table = named.join(names, "component").select("class", "component", "component_id").join(degree, "class", "left")
-    out = described.select("id", "t1", "t2", "n", "class").join(table, "class", "left")
+    out = named_rows.join(table, "class", "left")
     return out.select("id", "t1", "t2", "component", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = 5, top: int = 80, bottom: int = 100) -> DataFrame:
     """The rows, with all their columns, of one document of each component: the one with the smallest id. Documents without words stay."""
-    joined = saved(join_documents(docs, id_col, text_col, width, top, bottom, by_prefix=True), "joined")
+    joined = join_documents(docs, id_col, text_col, width, top, bottom, by_prefix=True)
     key = F.struct("id", "t1", "t2")
     chosen = joined.where("component is not null").groupBy("component").agg(F.min(key).alias("__key")).select("__key")
     chosen = chosen.union(joined.where("component is null").select(key.alias("__key")).distinct())

@@ -387,6 +387,28 @@ def test_jaccard_blocks_find_pairs_the_leader_misses(spark, monkeypatch):
     assert collections.Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_join(rows, 3, 90)
 
 
+def test_jaccard_join_leaves_only_its_result_on_disk(documents, monkeypatch):
+    monkeypatch.setattr(store, "_WRITTEN", [])
+    ngram_join.join_documents(documents[0], "doc_id", "text", 5, 80, 100, by_prefix=True)
+    assert [path.rsplit("/", 1)[1].split("-")[0] for _, path in store._WRITTEN] == ["joined"]
+
+
+def test_wide_bitmaps_refuse_large_sets_that_differ_and_no_similar_pair(spark):
+    rng = random.Random(22)
+    words = lambda n: [str(rng.randrange(10**6)) for _ in range(n)]
+    texts = []
+    for n in (100, 300, 1500, 3000):
+        base = words(n)
+        texts += [" ".join(base), " ".join(base[: n * 9 // 10] + words(n // 20)), " ".join(base[: n // 2] + words(n // 2))]
+    rows = spark.createDataFrame([((k, k), t) for k, t in enumerate(texts)], "class struct<h1: long, h2: long>, text string")
+    sets = store.saved(ngram_join.sets_of(rows, 5), "sets")
+    pairs = spark.createDataFrame([(k, k + d) for k in range(0, 12, 3) for d in (1, 2)], "a long, b long")
+    kept = lambda *a: {(r["a"], r["b"]) for r in ngram_join.bounded(pairs, sets, 80, 100, *a).collect()}
+    wide = kept("wide", ngram_join.WIDE)
+    assert {(0, 1), (3, 4), (6, 7), (9, 10)} <= wide and (9, 11) in kept() and not {(3, 5), (6, 8), (9, 11)} & wide
+    assert (0, 2) in wide  # small sets have no second bitmap and stay
+
+
 def test_one_of_each(odd, none):
     df, rows = odd
     kept = ngram_join.one_of_each(df, "doc_id", "text")
