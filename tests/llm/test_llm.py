@@ -195,6 +195,23 @@ def test_line_dedup_keeps_one_of_bands_of_the_same_lines(spark):
     assert sorted(tuple(r) for r in line_dedup.shared_keys(signed).collect()) == [(10, 1, 1), (10, 1, 2), (12, 1, 1), (12, 1, 2), (12, 1, 3)]
 
 
+def test_line_dedup_keys_are_few_and_shared_by_near_copies(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rng.randint(2, 14))) for _ in range(400)]
+    lines = []
+    for _ in range(150):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(14, 120)))
+        lines += [text, "".join("#" if j % 54 == 53 else c for j, c in enumerate(text))]
+    lines += ["Ofwhndan " * 250, "Ofwhndan " * 240]
+    rows = spark.createDataFrame(list(enumerate(lines)), "h1 long, line string").withColumn("runs", line_dedup.run_counts(F.col("line")))
+    found = collections.defaultdict(set)
+    for r in line_dedup.keys(rows, 4, 5).collect():
+        found[r["h1"]].add(r["band"])
+    assert all(found[a] & found[a + 1] for a in range(0, len(lines), 2))
+    long = [len(found[a]) for a, x in enumerate(lines) if len(x) > 100]
+    assert sum(long) <= 20 * len(long)
+
+
 def test_line_dedup_odd(odd, none):
     df, rows = odd
     out = line_dedup.dedup_lines(df, "doc_id", "text").collect()
