@@ -150,6 +150,27 @@ def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
     assert line_removals(spark, rows) == brute_lines(rows)
 
 
+def test_line_dedup_settles_large_bands_by_one_comparison(spark, monkeypatch):
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, lines = word(90), []
+    for _ in range(150):  # a passage that many lines hold, of which only two each are similar
+        own = word(rng.randint(90, 200))
+        lines += [own + passage, own[:40] + "#" + own[41:] + passage]
+    refused, calls = line_dedup.unrefused, []
+    monkeypatch.setattr(line_dedup, "unrefused", lambda *a: calls.append(1) or refused(*a))
+    rows = list(enumerate(lines))
+    assert line_removals(spark, rows) == brute_lines(rows)
+    assert len(calls) == 1  # no further leaders: they make as many pairs as the comparison of all lines
+
+
+def test_line_dedup_counts_the_runs_that_are_keys(spark):
+    lines = ["äöü " * 40, "Ofwhndan " * 30, "x" * 19, "x" * 20, "é" * 30]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.run_counts(F.col("line")).alias("n"))
+    raw = {x: x.encode() for x in lines}
+    assert {r["line"]: r["n"] for r in df.collect()} == {x: len({b[j : j + 20] for j in range(max(1, len(b) - 19))}) for x, b in raw.items()}
+
+
 def test_line_dedup_links_edited_prose_and_lines_without_spaces(spark):
     rng = random.Random(14)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(400)]
